@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding, url_filter
+from . import bpe, quality_rules, sharding, url_filter
 from .common import read, shuffle_width
 
 SHARDS = 8
@@ -25,6 +25,16 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 OP3_SQL = r"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -56,7 +66,7 @@ FROM m
 
 
 def queries() -> dict:
-    return {"op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade}
+    return {"op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index}
 
 
 def oracle_sql() -> dict[str, str]:
