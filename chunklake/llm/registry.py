@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, sharding, url_filter
+from . import bpe, quality_rules, sharding, substring_dedup, url_filter
 from .common import read, shuffle_width
 
 SHARDS = 8
@@ -35,6 +35,10 @@ def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -64,10 +68,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(
 FROM m
 """
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+hit AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+cov AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN cov USING (doc_id)
+"""
+
 
 def queries() -> dict:
-    return {"op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index}
+    return {"op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index, "op9_substring_windows": op9_substring_windows}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3_SQL, "op5_quality_cascade": OP5_SQL}
+    return {"op3_url_rules": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op9_substring_windows": OP9_SQL}
