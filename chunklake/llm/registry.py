@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, sharding, substring_dedup, url_filter
+from . import bpe, minhash_dedup, quality_rules, sharding, substring_dedup, url_filter
 from .common import read, shuffle_width
 
 SHARDS = 8
@@ -12,6 +12,10 @@ SHARDS = 8
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.groups(read(spark, sf_dir, "documents"), minhash_dedup.Setting(shingle=3, percent=85))
+
+
 def op2_shard_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), SHARDS)
 
@@ -39,6 +43,20 @@ def op9_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
 
+def near_sql(docs: str, shingle: int, percent: int) -> str:
+    """CTEs d, s, n, links and reach (doc_id, other) over a relation with doc_id and text: all links by exact set sizes."""
+    return f"""
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {docs}),
+s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, array_to_string(w[i:i + {shingle - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {shingle - 2}, 2))) AS i FROM d WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (k) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (min(x.n) + min(y.n) - count(*))),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)"""
+
+
+OP1_SQL = "WITH RECURSIVE " + near_sql("documents", 3, 85) + """
+SELECT doc_id, CAST(coalesce(min(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
 OP3_SQL = r"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -80,8 +98,8 @@ FROM d LEFT JOIN cov USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index, "op9_substring_windows": op9_substring_windows}
+    return {"op1_superminhash_dedup": op1_superminhash_dedup, "op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index, "op9_substring_windows": op9_substring_windows}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op9_substring_windows": OP9_SQL}
+    return {"op1_superminhash_dedup": OP1_SQL, "op3_url_rules": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op9_substring_windows": OP9_SQL}
