@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash_dedup, quality_rules, sharding, substring_dedup, url_filter
+from . import bpe, minhash_dedup, neighbours, quality_rules, sharding, substring_dedup, url_filter
 from .common import read, shuffle_width
 
 SHARDS = 8
@@ -39,6 +39,10 @@ def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_multiprobe_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op9_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(read(spark, sf_dir, "documents"))
 
@@ -98,7 +102,7 @@ FROM d LEFT JOIN cov USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_superminhash_dedup": op1_superminhash_dedup, "op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index, "op9_substring_windows": op9_substring_windows}
+    return {"op1_superminhash_dedup": op1_superminhash_dedup, "op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index, "op8_multiprobe_pstable": op8_multiprobe_pstable, "op9_substring_windows": op9_substring_windows}
 
 
 def oracle_sql() -> dict[str, str]:
