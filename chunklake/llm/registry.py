@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash_dedup, neighbours, quality_rules, sharding, substring_dedup, url_filter
+from . import bpe, lm_scoring, minhash_dedup, neighbours, quality_rules, sharding, substring_dedup, url_filter
 from .common import read, shuffle_width
 
 SHARDS = 8
@@ -58,6 +58,10 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (k) JOIN n
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)"""
 
 
+def op10_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 OP1_SQL = "WITH RECURSIVE " + near_sql("documents", 3, 85) + """
 SELECT doc_id, CAST(coalesce(min(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
@@ -102,7 +106,7 @@ FROM d LEFT JOIN cov USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_superminhash_dedup": op1_superminhash_dedup, "op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index, "op8_multiprobe_pstable": op8_multiprobe_pstable, "op9_substring_windows": op9_substring_windows}
+    return {"op1_superminhash_dedup": op1_superminhash_dedup, "op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index, "op8_multiprobe_pstable": op8_multiprobe_pstable, "op9_substring_windows": op9_substring_windows, "op10_attention_scores": op10_attention_scores}
 
 
 def oracle_sql() -> dict[str, str]:
