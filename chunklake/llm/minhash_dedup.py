@@ -6,9 +6,10 @@ the variance, and once all slots of a set hold values below j + 1, later steps c
 any, so they are left out. All sets of a chunk take step j together.
 
 Documents with equal shingle sets form a class. Classes that agree in a band are candidates. Each
-class is first verified against the one it shares most bands with; in bands that still hold several
-components after that, all pairs across components are compared block by block on compact
-sketches, and those that may reach the threshold are verified on full sets.
+class is first verified against the one it shares most bands with. In bands that still hold several
+components after that, all pairs across components are compared: in bands of up to HOT rows on compact
+sketches, the pairs that may reach the threshold then being verified on full sets; in larger bands block by
+block on full sets at once, so that only links leave a block, never the pairs of a large group.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import WordHashes, chunks, inside, keep, mix, signed, split_all
 from .components import components
 
 SLOTS, BANDS = 256, 32
-#: Rows of a block when a band's members are compared on sketches.
-BLOCK = 256
+#: Members up to which a band is compared on sketches, and rows of a block in larger ones.
+HOT, BLOCK = 128, 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -139,12 +140,14 @@ def signatures(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _full_sets(width: int):
+    """From (doc_id, text, s1, s2): doc_id and the items of its set, where that is the set in question."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for part, texts in chunks(batches):
             sets = shingle_sets(texts, width, words)
-            ids = [_set_id(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s1", "s2", "items"])
+            right = [_set_id(s) == (x, y) for s, x, y in zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"]).filter(pa.array(right, pa.bool_()))
 
     return go
 
@@ -162,23 +165,67 @@ def _verified(percent: int):
     return go
 
 
-def _compare(percent: int, slots: int):
-    """Pairs of a block pair, from different components, whose sketches and sizes may reach the threshold."""
+def _bytes(t: pa.Table, column: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in t.column(column).to_pylist()]
+
+
+def _first_shared(marks: tuple[np.ndarray, np.ndarray], i: int, may: np.ndarray, band: int) -> np.ndarray:
+    """Of the rows may, those that share no earlier band with row i: every pair is compared in one band only."""
+    if not len(may):
+        return may
+    same = marks[1][may] == marks[0][i]
+    return may[np.argmax(same, axis=1) == band] if band >= 0 else may
+
+
+def _near(percent: int, slots: int):
+    """Pairs of a band, across components, whose sketches and sizes may reach the threshold."""
     p = percent / 100
     least = p - 5.5 * (p * (1 - p) / slots) ** 0.5
     need = slots * (least + (1 - least) / 256)
 
+    def go(t: pa.Table) -> pa.Table:
+        a, b = [], []
+        x = np.stack(_bytes(t, "sketch", np.uint8))
+        marks = np.stack(_bytes(t, "marks", np.uint32))
+        ids, comp, size, band = (t.column(c).to_numpy() for c in ("id", "comp", "n", "at"))
+        for i in range(t.num_rows):
+            may = np.flatnonzero((comp > comp[i]) & (100 * np.minimum(size[i], size) >= percent * np.maximum(size[i], size)))
+            may = may[(x[may] == x[i]).sum(axis=1) >= need] if len(may) else may
+            may = _first_shared((marks, marks), i, may, int(band[i]))
+            a += [ids[i]] * len(may)
+            b += ids[may].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return go
+
+
+def _linked(percent: int):
+    """Links between two blocks of a band, across components, on full sets: at most one for each row and other component."""
+
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
-            x, y = (np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, slots) for t in (left, right))
-            ids, comp, size = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "comp", "n"))
-            for i in range(left.num_rows):
-                n = size[0][i]
-                may = np.flatnonzero((comp[1] > comp[0][i]) & (100 * np.minimum(n, size[1]) >= percent * np.maximum(n, size[1])))
-                may = may[(y[may] == x[i]).sum(axis=1) >= need]
-                a += [ids[0][i]] * len(may)
-                b += ids[1][may].tolist()
+            sets = tuple(_bytes(t, "items", np.uint64) for t in (left, right))
+            ids, comp = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "comp"))
+            marks = tuple(np.stack(_bytes(t, "marks", np.uint32)) for t in (left, right))
+            band = int(left.column("at")[0].as_py())
+            size = [np.array([len(s) for s in own]) for own in sets]
+            # The right block as rows x distinct items, for all intersections of a set at once.
+            items, place = np.unique(np.concatenate(sets[1]), return_inverse=True)
+            owner = np.repeat(np.arange(right.num_rows), size[1])
+            order = np.argsort(place, kind="stable")
+            owner, cuts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(items)))])
+            for i, own in enumerate(sets[0]):
+                at = np.searchsorted(items, own)
+                at = at[(at < len(items)) & (items[np.minimum(at, len(items) - 1)] == own)]
+                n = cuts[at + 1] - cuts[at]
+                rows = owner[np.repeat(cuts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                both = np.bincount(rows, minlength=right.num_rows)
+                hit = np.flatnonzero((comp[1] > comp[0][i]) & (100 * both >= percent * (size[0][i] + size[1] - both)))
+                hit = _first_shared(marks, i, hit, band)
+                _, one = np.unique(comp[1][hit], return_index=True)
+                a += [ids[0][i]] * len(one)
+                b += ids[1][hit[one]].tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return go
@@ -197,32 +244,34 @@ def groups(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "
     sig = keep(signatures(rows, setting.shingle), "minhash-signatures")
     full = sig.where("n > 0 and doc_id is not null")
     classes = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
-    reps = full.join(classes, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["doc_id", "s1", "s2"])
-    # A class's id: its place among the classes of its first document (0 but where doc_id isn't unique) doesn't matter for links.
-    members = keep(reps.select(F.col("rep").alias("id"), "n", "s1", "s2", F.explode("bands").alias("band")), "minhash-bands")
+    own = ["doc_id", "s1", "s2"]
+    reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
+    members = full.select(*own, "bands").join(reps, own).select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
     hubs = members.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("band", "hub")
-    stars = members.select("id", "band").join(hubs, "band").where("id > hub").groupBy("id", "hub").count()
+    met = keep(members.join(hubs, "band"), "minhash-met")  # bands that several classes share
+    stars = met.where("id > hub").groupBy("id", "hub").count()
     best = stars.groupBy("id").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("best"))
     first = keep(best.select((-F.col("best.h")).alias("a"), F.col("id").alias("b")), "minhash-first")
-    linked = keep(verify(first, rows, classes, setting), "minhash-links")
+    linked = keep(verify(first, rows, reps, setting), "minhash-links")
     comp = components(linked)
 
     # All other pairs: within a band, across components.
-    shared = members.select("id", "band").join(hubs.select("band"), "band").join(comp, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
-    several = shared.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    open_rows = shared.join(several.select("band", "size"), "band")
-    sketches = reps.select(F.col("rep").alias("id"), "n", "sketch")
-    # Small bands are dealt into cells of their own; a band of more than BLOCK rows into blocks that meet pairwise.
-    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    placed = keep(open_rows.select("band", "id", "comp", parts.alias("parts"), own.alias("part")).join(sketches, "id"), "minhash-open")
-    grid = F.sequence(F.lit(0), F.col("parts") - 1)
-    left = placed.withColumn("other", F.explode(grid)).select("band", F.col("part").alias("i"), F.col("other").alias("j"), "id", "comp", "n", "sketch")
-    right = placed.withColumn("other", F.explode(grid)).select("band", F.col("other").alias("i"), F.col("part").alias("j"), "id", "comp", "n", "sketch")
-    maybe = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInArrow(_compare(setting.percent, SLOTS), "a long, b long")
-    more = keep(maybe.distinct(), "minhash-second")
-    linked = linked.unionByName(verify(more, rows, classes, setting))
-    comp = components(linked).select(F.col("id").alias("rep"), "component")
+    shared = met.join(comp, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp")).distinct()
+    several = shared.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("band", "size")
+    opened = keep(shared.join(several, "band"), "minhash-open")
+    ids = opened.select(F.col("id").alias("doc_id")).distinct().join(reps, "doc_id")
+    facts = full.select(*own, "n", "sketch", "bands").join(ids, own).select(F.col("doc_id").alias("id"), "n", "sketch", "bands")
+    placed = opened.join(facts, "id").select("band", "id", "comp", "size", "n", "sketch", (F.array_position("bands", F.col("band")) - 1).alias("at"), _marks("bands").alias("marks"))
+    placed = keep(placed, "minhash-placed")
+    small = placed.where(F.col("size") <= HOT).groupBy("band").applyInArrow(_near(setting.percent, SLOTS), "a long, b long")
+    links = verify(keep(small, "minhash-second"), rows, reps, setting)
+    hot = placed.where(F.col("size") > HOT).select("band", "id", "comp", "at", "marks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("parts"))
+    hot = hot.join(_sets(hot.select(F.col("id").alias("doc_id")), rows, reps, setting), "id").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    hot = keep(hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "minhash-hot")
+    left = hot.select("band", F.col("part").alias("i"), F.col("other").alias("j"), "id", "comp", "at", "marks", "items")
+    right = hot.select("band", F.col("other").alias("i"), F.col("part").alias("j"), "id", "comp", "at", "marks", "items")
+    more = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInArrow(_linked(setting.percent), "a long, b long")
+    comp = components(linked.unionByName(links).unionByName(more)).select(F.col("id").alias("rep"), "component")
 
     of_class = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     narrow = sig.select("doc_id", "n", "s1", "s2")
@@ -231,10 +280,20 @@ def groups(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "
     return alone.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def verify(pairs: DataFrame, rows: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
-    """The pairs (a, b) of class ids whose full shingle sets reach the threshold. Sets are made anew for the ids in question only."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = rows.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(setting.shingle), "doc_id long, s1 long, s2 long, items binary")
-    sets = keep(sets.join(classes.select("s1", "s2", F.col("rep").alias("doc_id")), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"]), "minhash-sets")
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+def _marks(bands: str):
+    """32 bits of every band key, one after the other, as numpy reads them."""
+    flip = lambda h: F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
+    return F.unhex(F.array_join(F.transform(bands, lambda b: flip(F.lpad(F.hex(b.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), ""))
+
+
+def _sets(ids: DataFrame, rows: DataFrame, reps: DataFrame, setting: Setting) -> DataFrame:
+    """(id, items) for the ids in question: their sets are made anew, so that no set is stored for all documents."""
+    return rows.join(ids.distinct().join(reps, "doc_id"), "doc_id").select("doc_id", "text", "s1", "s2").mapInArrow(_full_sets(setting.shingle), "id long, items binary")
+
+
+def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, setting: Setting) -> DataFrame:
+    """The pairs (a, b) of class ids whose full shingle sets reach the threshold."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = keep(_sets(ids, rows, reps, setting), "minhash-sets")
+    a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(setting.percent), "a long, b long")
