@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm_scoring, minhash_dedup, neighbours, quality_rules, sharding, substring_dedup, url_filter
+from . import bpe, lm_scoring, minhash_dedup, neighbours, quality_rules, sharding, substring_dedup, token_counts, url_filter
 from .common import read, shuffle_width
 
 SHARDS = 8
@@ -35,6 +35,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintain(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -74,6 +78,13 @@ SELECT page_id, host, path, (SELECT h || pa FROM r WHERE (host = h OR ends_with(
 FROM p
 """
 
+#: What is left after copies of a text have gone, counted anew under both versions.
+OP6_SQL = r"""
+WITH d AS (SELECT source, lang, coalesce(text, '') AS t FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST, coalesce(source, ''), coalesce(lang, '')) = 1)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) + 1) AS BIGINT) AS n_tokens FROM d GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'words-2', count(*), CAST(sum(len(regexp_extract_all(t, '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]'))) AS BIGINT) FROM d GROUP BY source, lang
+"""
 #: Counts of every document; all rules of the cascade as one condition.
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -106,8 +117,8 @@ FROM d LEFT JOIN cov USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_superminhash_dedup": op1_superminhash_dedup, "op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op7_bpe_pair_index": op7_bpe_pair_index, "op8_multiprobe_pstable": op8_multiprobe_pstable, "op9_substring_windows": op9_substring_windows, "op10_attention_scores": op10_attention_scores}
+    return {"op1_superminhash_dedup": op1_superminhash_dedup, "op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op6_token_rollup": op6_token_rollup, "op7_bpe_pair_index": op7_bpe_pair_index, "op8_multiprobe_pstable": op8_multiprobe_pstable, "op9_substring_windows": op9_substring_windows, "op10_attention_scores": op10_attention_scores}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_superminhash_dedup": OP1_SQL, "op3_url_rules": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op9_substring_windows": OP9_SQL}
+    return {"op1_superminhash_dedup": OP1_SQL, "op3_url_rules": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op6_token_rollup": OP6_SQL, "op9_substring_windows": OP9_SQL}
