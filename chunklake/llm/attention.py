@@ -14,11 +14,11 @@ SHAPES = ("emb", "pos", "qkv", "out", "head", "bias")
 class Shape:
     """classes that are predicted, subwords that have an input vector of their own, width of the vectors, positions of a window and how many of them a next window sees again."""
 
-    classes: int = 128
+    classes: int = 64
     frequent: int = 2048
     width: int = 16
     window: int = 32
-    overlap: int = 8
+    overlap: int = 4
 
 
 def fresh(shape: Shape, class_counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
@@ -66,15 +66,43 @@ def _forward(p: dict[str, np.ndarray], inputs: np.ndarray):
     return x, q, k, v, s, total, c, h, logits
 
 
+class Scorer:
+    """ln P(target) at every position of windows; weights are prepared once, and sums run as matrix products."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        d = p["out"].shape[0]
+        q, k, v = (p["qkv"][:, i * d : (i + 1) * d] for i in range(3))
+        self.emb, self.pos = p["emb"], p["pos"]
+        self.q, self.k, self.v = np.ascontiguousarray(q * np.float32(d**-0.5)), np.ascontiguousarray(k), np.ascontiguousarray(v @ p["out"])
+        self.head = np.concatenate([p["head"], p["bias"][None]])
+        self.mask = _mask(len(p["pos"]))
+        self.of_window, self.of_class = np.ones((len(p["pos"]), 1), np.float32), np.ones(p["head"].shape[1], np.float32)
+
+    def __call__(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        b, w = inputs.shape
+        x = self.emb[inputs]
+        x += self.pos
+        flat = x.reshape(b * w, -1)
+        q, k, v = ((flat @ m).reshape(b, w, -1) for m in (self.q, self.k, self.v))
+        s = q @ k.transpose(0, 2, 1)
+        s += self.mask
+        np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        c = s @ v
+        c /= s @ self.of_window
+        h = np.ones((b * w, flat.shape[1] + 1), np.float32)
+        np.add(flat, c.reshape(b * w, -1), out=h[:, :-1])
+        logits = h @ self.head
+        pick = logits[np.arange(b * w), targets.ravel()]
+        top = max(0.0, float(logits.max()) - 60)
+        if top:
+            logits -= np.float32(top)
+        np.exp(logits, out=logits)
+        return (pick - top - np.log(logits @ self.of_class)).astype(np.float64).reshape(b, w)
+
+
 def log_probs(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """ln P(target) at every position of the windows (one row each)."""
-    *_, logits = _forward(p, inputs)
-    pick = logits[np.arange(len(logits)), targets.ravel()].astype(np.float64)
-    top = max(0.0, float(logits.max()) - 60)
-    if top:
-        logits -= np.float32(top)
-    np.exp(logits, out=logits)
-    return (pick - top - np.log(logits.sum(axis=1))).reshape(targets.shape)
+    return Scorer(p)(inputs, targets)
 
 
 def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:

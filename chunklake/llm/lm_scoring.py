@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +27,29 @@ from .common import chunks, keep, signed
 #: Frequent words whose counts are sent to every worker: 16 bytes each.
 FREQUENT = 262_144
 #: Of every so many windows of a training document, one is trained on, the first included: it grows with the input.
-TRAIN_EVERY = 16
+TRAIN_EVERY = 24
 #: Windows that one trainer sees in a round, and rounds; after a round, weights are averaged.
 TRAINER_WINDOWS, ROUNDS = 50_000, 2
 WORDS_CACHED = 300_000
 #: The published pattern of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_OTHER_SPACE = re.compile(r"[^\S ]|[\x1c-\x1f]")
 _END = b""  # no word is empty
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first appearance; those not seen before are listed."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Subwords:
     """Words of a group as numbers, with their hashes and subword ids; remembered up to a bound."""
 
@@ -43,31 +57,63 @@ class Subwords:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.end_id = max(table.values()) + 1
         self.size = self.end_id + 1
+        self._spaced = np.zeros(self.size, bool)
+        self._spaced[[i for piece, i in table.items() if piece.startswith(b" ")]] = True
         self._encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+    def full(self) -> bool:
+        return len(self.numbers) > WORDS_CACHED
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
         self.hash, self.start, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def group(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words, an end after each text, and the offsets of the texts."""
-        if len(self.numbers) > WORDS_CACHED:
-            self._forget()
+        if self.full():
+            self.forget()
         words, ends = [], [0]
         for t in texts:
             words += t.translate(_LOWER).split()
             words.append(_END)
             ends.append(len(words))
         known = self.numbers
-        new = [w for w in set(words) if w not in known]
-        for w in new:
-            known[w] = len(known)
-        ids = [[self.end_id] if w == _END else self._encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in new]
+        numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        new, known.new = known.new, []
+        ids = self._encoded(new)
         self.hash = np.concatenate([self.hash, np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(i) for i in ids], dtype=np.int64)])
         self.ids = np.concatenate([self.ids, np.array([x for i in ids for x in i], np.int32)])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), np.array(ends)
+        return numbers, np.array(ends)
+
+    def _encoded(self, words: list[bytes]) -> list[list[int]]:
+        """Subword ids of each word after a space. Words are encoded in one go where each id that starts with a space starts a word."""
+        plain = [w for w in words if w != _END]
+        text = b" " + b" ".join(plain)
+        text = text.decode("utf-8", "replace")
+        if plain and not _OTHER_SPACE.search(text):
+            flat = np.array(self._encoding.encode_ordinary(text), np.int64)
+            starts = np.flatnonzero(self._spaced[flat])
+            if len(starts) == len(plain):
+                flat, cuts = flat.tolist(), [*starts.tolist(), len(flat)]
+                found = iter([flat[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)])
+                return [[self.end_id] if w == _END else next(found) for w in words]
+        return [[self.end_id] if w == _END else self._encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        """Where the subwords of each word of the group begin, and where all of them end."""
+        return np.concatenate([[0], np.cumsum(self.start[numbers + 1] - self.start[numbers])])
+
+    def picked(self, numbers: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Subword ids of the group at these places."""
+        word = np.searchsorted(before, at, side="right") - 1
+        return self.ids[self.start[numbers[word]] + at - before[word]]
+
+    def totals(self, counts: np.ndarray) -> np.ndarray:
+        """How often each subword id occurs if the word of each number occurs that often."""
+        n = np.diff(self.start[: len(counts) + 1])
+        return np.bincount(self.ids[: n.sum()], np.repeat(counts, n), self.size).astype(np.int64)
 
     def stream(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of the group, end to end, and the offsets of the texts."""
@@ -105,25 +151,36 @@ def gather(rows: DataFrame, ranks, shape: Shape) -> DataFrame:
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = _subwords(ranks.value)
-        total = np.zeros(sub.size, np.int64)
+        sub.forget()
+        total, seen = np.zeros(sub.size, np.int64), np.zeros(0, np.int64)
+
+        def out(kind: int, k: np.ndarray, c: np.ndarray, ids: list | None = None) -> pa.RecordBatch:
+            lists = pa.nulls(len(k), pa.list_(pa.int32())) if ids is None else pa.array(ids, pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k, pa.int64()), pa.array(c, pa.int64()), lists], names=["kind", "k", "c", "ids"])
+
         for _, texts in chunks(batches):
+            if sub.full():  # counts of a task leave it once a cache, not once a chunk
+                yield out(0, signed(sub.hash[: len(seen)]), seen)
+                total += sub.totals(seen)
+                sub.forget()
+                seen = np.zeros(0, np.int64)
             numbers, ends = sub.group(texts)
             n = np.bincount(numbers, minlength=len(sub.hash))
-            seen = np.flatnonzero(n)
-            seq, offsets = sub.stream(numbers, ends)
-            total += np.bincount(seq, minlength=sub.size)
+            n[: len(seen)] += seen
+            seen, before = n, sub.sizes(numbers)
+            offsets = before[ends]
             text, begin, _ = attention.windows(np.diff(offsets), shape)
             take = (begin // (shape.window - shape.overlap)) % TRAIN_EVERY == 0
-            own = []
-            for t, b in zip(text[take], begin[take], strict=True):
-                lo, hi = offsets[t] + b, min(offsets[t + 1], offsets[t] + b + shape.window)
-                own.append(np.concatenate([[-1] if b == 0 else seq[lo - 1 : lo], seq[lo:hi]]).astype(np.int32))
-            k = np.concatenate([signed(sub.hash[seen]), np.zeros(len(own), np.int64)])
-            c = np.concatenate([n[seen], np.zeros(len(own), np.int64)])
-            kind = np.repeat(np.array([0, 2], np.int32), [len(seen), len(own)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(k), pa.array(c), pa.array([None] * len(seen) + own, pa.list_(pa.int32()))], names=["kind", "k", "c", "ids"])
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(seen), np.int32)), pa.array(seen), pa.array(total[seen]), pa.nulls(len(seen), pa.list_(pa.int32()))], names=["kind", "k", "c", "ids"])
+            text, begin = text[take], begin[take]
+            at = (offsets[text] + begin)[:, None] + np.arange(-1, shape.window)
+            ids = sub.picked(numbers, before, np.clip(at, 0, before[-1] - 1))
+            ids[begin == 0, 0] = -1
+            size = np.minimum(shape.window, np.diff(offsets)[text] - begin) + 1
+            yield out(2, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [w[:k] for w, k in zip(ids, size.tolist(), strict=True)])
+        yield out(0, signed(sub.hash[: len(seen)]), seen)
+        total += sub.totals(seen)
+        used = np.flatnonzero(total)
+        yield out(1, used, total[used])
 
     return rows.mapInArrow(go, "kind int, k long, c long, ids array<int>")
 
@@ -228,6 +285,7 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = _subwords(ranks.value)
         weights, maps, inner, top_hash, top_count = sent.value
+        model = attention.Scorer(weights)
         for part, texts in chunks(batches):
             numbers, ends = sub.group(texts)
             owner = np.repeat(np.arange(len(texts)), np.diff(ends))
@@ -244,7 +302,7 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
             lm = np.add.reduceat(inner[seq], offs[:-1])
             text, inputs, targets, real = _laid(seq, offs, shape, maps)
             for lo in range(0, len(text), 64):
-                p = attention.log_probs(weights, inputs[lo : lo + 64], targets[lo : lo + 64])
+                p = model(inputs[lo : lo + 64], targets[lo : lo + 64])
                 np.add.at(lm, text[lo : lo + 64], (p * real[lo : lo + 64]).sum(axis=1))
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], pa.int64()), pa.array(np.diff(ends)), pa.array(known), pa.array(base), pa.array(lm / math.log(10)),
