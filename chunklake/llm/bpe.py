@@ -165,18 +165,23 @@ class Units(dict):
     """Numbers of units; new ones wait to be merged together."""
 
     def __init__(self, bpe: PairIndexBPE):
-        self.bpe, self.new, self.ids, self.named, self.bytes = bpe, [], [], [], []
+        self.bpe, self.new = bpe, []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.named, self.bytes = [], []
+        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self.ids) + len(self.new)
+        n = self[unit] = len(self)
         self.new.append(unit)
         return n
 
     def numbers(self, texts: list[bytes]) -> list[list[int]]:
-        """For each text, the numbers of its units; ids, named and bytes then hold what each number stands for."""
+        """For each text, the numbers of its units; named and bytes then hold what each number stands for, and flat, from start on, its ids."""
         if len(self) > CACHE_UNITS:
-            self.clear()
-            self.ids, self.named, self.bytes = [], [], []
+            self._forget()
         out = [list(map(self.__getitem__, self.bpe.units(t.decode("utf-8", "replace")))) for t in texts]
         words, owner = [], []
         for u in self.new:
@@ -184,16 +189,27 @@ class Units(dict):
             words += own
             owner.append(len(words))
         flat, ends = self.bpe.merge(words)
-        cuts, flat = ends[np.array([0, *owner], np.int64)], flat.tolist()
+        cuts, flat, all_ids = ends[np.array([0, *owner], np.int64)], flat.tolist(), []
         for u, lo, hi in zip(self.new, cuts.tolist(), cuts[1:].tolist(), strict=False):
             ids = [self.bpe.special[u]] if u in self.bpe.special else flat[lo:hi]
-            self.ids.append(ids)
+            all_ids.append(ids)
             self.named.append(",".join(map(self.bpe.names.__getitem__, ids)))
             self.bytes.append(b"".join(map(self.bpe.pieces.__getitem__, ids)))
+        self.flat = np.concatenate([self.flat, np.array([i for ids in all_ids for i in ids], np.int32)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(i) for i in all_ids], dtype=np.int64)])
         self.new = []
         return out
 
 
+    def ids_of(self, texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and where each text's begin."""
+        own = np.fromiter((n for t in texts for n in t), np.int64)
+        size = self.start[own + 1] - self.start[own]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.repeat(self.start[own] - before[:-1], size) + np.arange(before[-1])]
+        return ids, before[np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])]
+
+
 _loaded: dict[int, PairIndexBPE] = {}
 
 
@@ -231,8 +247,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(_load(blob.value))
         for part, texts in _groups(batches, "text"):
-            ids = [[i for n in own for i in units.ids[n]] for own in units.numbers(texts)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids, ends = units.ids_of(units.numbers(texts))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>")
@@ -261,7 +277,8 @@ def digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         for part, texts in _groups(batches, "text"):
             n, ids, back = [], [], []
             for own in units.numbers(texts):
-                n.append(sum(len(units.ids[u]) for u in own))
+                own_ids = np.array(own, np.int64)
+                n.append(int((units.start[own_ids + 1] - units.start[own_ids]).sum()))
                 ids.append(hashlib.sha256(",".join([units.named[u] for u in own]).encode()).hexdigest())
                 back.append(hashlib.sha256(b"".join([units.bytes[u] for u in own]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

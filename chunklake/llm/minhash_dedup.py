@@ -35,10 +35,11 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 @dataclass(frozen=True)
 class Setting:
-    """Words of a shingle; percent of the union that the intersection must reach; whether shorter texts count as one shingle."""
+    """Words of a shingle; percent of the union that the intersection must reach; bands of the signature: at the threshold, one of (1 - p**(SLOTS // bands))**bands pairs is missed."""
 
     shingle: int
     percent: int
+    bands: int = BANDS
 
 
 def shingle_sets(texts: list[bytes], width: int, words: WordHashes) -> list[np.ndarray]:
@@ -119,17 +120,17 @@ def _set_id(s: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def signatures(rows: DataFrame, width: int) -> DataFrame:
+def signatures(rows: DataFrame, setting: Setting) -> DataFrame:
     """doc_id, n (set size), s1 and s2 (hash of the set), bands and sketch (one byte a slot) of every row; null bands for empty sets."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for part, texts in chunks(batches):
-            sets = shingle_sets(texts, width, words)
+            sets = shingle_sets(texts, setting.shingle, words)
             for lo in range(0, len(sets), 256):
                 own = sets[lo : lo + 256]
                 sig = superminhash(own)
-                bands, sketch = signed(band_keys(sig)), (mix(sig) & np.uint64(255)).astype(np.uint8)
+                bands, sketch = signed(band_keys(sig, setting.bands)), (mix(sig) & np.uint64(255)).astype(np.uint8)
                 ids = [_set_id(s) for s in own]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).slice(lo, len(own)), pa.array([len(s) for s in own], pa.int64()), pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()),
@@ -241,7 +242,7 @@ def groups(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "
     null and the row is kept. Extra columns are not read.
     """
     rows = _rows(docs, key, text)
-    sig = keep(signatures(rows, setting.shingle), "minhash-signatures")
+    sig = keep(signatures(rows, setting), "minhash-signatures")
     full = sig.where("n > 0 and doc_id is not null")
     classes = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     own = ["doc_id", "s1", "s2"]
@@ -280,6 +281,13 @@ def groups(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "
     return alone.unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def representatives(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are kept by groups(): one of each group. Of rows equal in key and text one stays; rows with a null key and empty texts stay."""
+    kept = groups(docs, setting, key, text).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return rows.withColumn("__text", F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([key, "__text"]).drop("__text")
+
+
 def _marks(bands: str):
     """32 bits of every band key, one after the other, as numpy reads them."""
     flip = lambda h: F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])

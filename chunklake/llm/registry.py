@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm_scoring, minhash_dedup, neighbours, quality_rules, sharding, substring_dedup, token_counts, url_filter
+from . import bpe, lm_scoring, minhash_dedup, mixing, neighbours, quality_rules, sharding, substring_dedup, token_counts, url_filter
 from .common import read, shuffle_width
 
 SHARDS = 8
 #: (host, path, verdict), fixed by the contract.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
+#: Target shares of the tokens by domain.
+MIX_WEIGHTS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+
 
 def op1_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.groups(read(spark, sf_dir, "documents"), minhash_dedup.Setting(shingle=3, percent=85))
@@ -25,6 +28,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), rules, shuffle_width(spark))
 
 
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), MIX_WEIGHTS).drop("doc")
+
+
 def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -117,7 +124,7 @@ FROM d LEFT JOIN cov USING (doc_id)
 
 
 def queries() -> dict:
-    return {"op1_superminhash_dedup": op1_superminhash_dedup, "op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op5_quality_cascade": op5_quality_cascade, "op6_token_rollup": op6_token_rollup, "op7_bpe_pair_index": op7_bpe_pair_index, "op8_multiprobe_pstable": op8_multiprobe_pstable, "op9_substring_windows": op9_substring_windows, "op10_attention_scores": op10_attention_scores}
+    return {"op1_superminhash_dedup": op1_superminhash_dedup, "op2_shard_jump": op2_shard_jump, "op3_url_rules": op3_url_rules, "op4_soft_mixing": op4_soft_mixing, "op5_quality_cascade": op5_quality_cascade, "op6_token_rollup": op6_token_rollup, "op7_bpe_pair_index": op7_bpe_pair_index, "op8_multiprobe_pstable": op8_multiprobe_pstable, "op9_substring_windows": op9_substring_windows, "op10_attention_scores": op10_attention_scores}
 
 
 def oracle_sql() -> dict[str, str]:
