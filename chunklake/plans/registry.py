@@ -1,9 +1,16 @@
 """Named queries over the driver's tables, and their SQL twins."""
 
+from __future__ import annotations
+
+from chunklake.plans import filesystem, listing, policies, scalars, storage
+from chunklake.plans.prelude import with_
+
+_ALL = {**storage.QUERIES, **listing.QUERIES, **filesystem.QUERIES, **policies.QUERIES, **scalars.QUERIES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: with_(sql) for name, (_, sql) in _ALL.items() if sql}
