@@ -13,16 +13,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunklake import schemas
 
+ColumnOrName = Column | str
+
 #: Content-defined chunking: our own constants. A cut is where the low bits of the rolling hash are 0.
 CDC_WINDOW, CDC_BITS, CDC_LEAST, CDC_MOST = 48, 10, 256, 8192
 _MUL = 0x9E3779B97F4A7C15 | 1
 
 
+def _mapped(one, kind: str):
+    """A column function of a function of one value, run on Arrow batches; null gives null."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else one(v) for v in values], dtype=object)
+
+    return F.pandas_udf(run, kind)
+
+
 def cut_points(data: bytes) -> list[tuple[int, int]]:
     """(offset, length) of content-defined chunks: a polynomial hash over the last CDC_WINDOW bytes, between CDC_LEAST and CDC_MOST bytes apart."""
     n = len(data)
@@ -100,8 +111,7 @@ def log_records(files: DataFrame) -> DataFrame:
 _ENTRY = struct.Struct(">QIQIB")  # 25 bytes
 
 
-@F.pandas_udf(schemas.PACK_INDEX)
-def pack_index(data: pd.Series) -> pd.Series:
+def pack_index(data: Column) -> Column:
     """Entries of a pack's chunk index: off, len, stored_off, stored_len, codec; null where the size isn't a whole number of entries."""
 
     def one(b: bytes | None):
@@ -109,15 +119,14 @@ def pack_index(data: pd.Series) -> pd.Series:
             return None
         return [dict(zip(("off", "len", "stored_off", "stored_len", "codec"), e, strict=True)) for e in _ENTRY.iter_unpack(b)]
 
-    return data.map(one)
+    return _mapped(one, schemas.PACK_INDEX)(data)
 
 
 def encode_pack_index(entries: list[tuple]) -> bytes:
     return b"".join(_ENTRY.pack(*e) for e in entries)
 
 
-@F.pandas_udf(schemas.ACL)
-def access_list(data: pd.Series) -> pd.Series:
+def access_list(data: Column) -> Column:
     """Entries of a POSIX access list: version 2 as a little-endian 32-bit number, then (tag, perm, id); null for any other form."""
 
     def one(b: bytes | None):
@@ -125,7 +134,7 @@ def access_list(data: pd.Series) -> pd.Series:
             return None
         return [{"tag": t, "perm": p, "id": i} for t, p, i in struct.iter_unpack("<HHI", b[4:])]
 
-    return data.map(one)
+    return _mapped(one, schemas.ACL)(data)
 
 
 def encode_access_list(entries: list[tuple]) -> bytes:
@@ -157,14 +166,15 @@ def unframed(data: bytes) -> bytes | None:
     return body if codec == 0 else zstandard.decompress(body) if codec == 1 else gzip.decompress(body) if codec == 2 else None
 
 
-@F.pandas_udf("binary")
-def compress_pack(raw: pd.Series, codec: pd.Series) -> pd.Series:
-    return pd.Series([None if r is None else framed(r, int(c)) for r, c in zip(raw, codec, strict=True)])
+def compress_pack(raw: ColumnOrName, codec: ColumnOrName) -> Column:
+    def run(raw: pd.Series, codec: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else framed(r, int(c)) for r, c in zip(raw, codec, strict=True)])
+
+    return F.pandas_udf(run, "binary")(raw, codec)
 
 
-@F.pandas_udf("binary")
-def decompress_pack(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: None if d is None else unframed(d))
+def decompress_pack(data: ColumnOrName) -> Column:
+    return _mapped(unframed, "binary")(data)
 
 
 def signing_key(secret: str, date: str, region: str, service: str) -> bytes:
@@ -178,11 +188,7 @@ def signature_of(secret: str, date: str, region: str, service: str):
     """A function of string-to-sign columns that gives their hex signatures; the key stays on the workers."""
     key = signing_key(secret, date, region, service)
 
-    @F.pandas_udf("string")
-    def sign(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else hmac.new(key, t.encode(), hashlib.sha256).hexdigest())
-
-    return sign
+    return _mapped(lambda t: hmac.new(key, t.encode(), hashlib.sha256).hexdigest(), "string")
 
 
 def file_hashes(parts: DataFrame) -> DataFrame:
