@@ -74,12 +74,12 @@ def content_chunks(objects: DataFrame) -> DataFrame:
 
 
 #: seq, op, inode, indx, off, slice_id, size, slice_off, slice_len: 45 bytes, big-endian.
-_WAL = struct.Struct(">QBQIIQIII")
+_WAL = ">QBQIIQIII"
 
 
 def encode_log(records: list[tuple]) -> bytes:
     """Framed records: length and CRC-32 as big-endian 32-bit numbers, then 45 bytes."""
-    return b"".join(struct.pack(">II", _WAL.size, zlib.crc32(body)) + body for body in (_WAL.pack(*r) for r in records))
+    return b"".join(struct.pack(">II", len(body), zlib.crc32(body)) + body for body in (struct.pack(_WAL, *r) for r in records))
 
 
 def decode_log(data: bytes) -> list[tuple]:
@@ -88,9 +88,9 @@ def decode_log(data: bytes) -> list[tuple]:
     while at + 8 <= len(data):
         size, crc = struct.unpack_from(">II", data, at)
         body = data[at + 8 : at + 8 + size]
-        if size != _WAL.size or len(body) != size or zlib.crc32(body) != crc:
+        if size != struct.calcsize(_WAL) or len(body) != size or zlib.crc32(body) != crc:
             break
-        out.append(_WAL.unpack(body))
+        out.append(struct.unpack(_WAL, body))
         at += 8 + size
     return out
 
@@ -108,22 +108,22 @@ def log_records(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(go, "segment string, " + schemas.WAL_RECORD)
 
 
-_ENTRY = struct.Struct(">QIQIB")  # 25 bytes
+_ENTRY = ">QIQIB"  # 25 bytes
 
 
 def pack_index(data: Column) -> Column:
     """Entries of a pack's chunk index: off, len, stored_off, stored_len, codec; null where the size isn't a whole number of entries."""
 
     def one(b: bytes | None):
-        if b is None or len(b) % _ENTRY.size:
+        if b is None or len(b) % struct.calcsize(_ENTRY):
             return None
-        return [dict(zip(("off", "len", "stored_off", "stored_len", "codec"), e, strict=True)) for e in _ENTRY.iter_unpack(b)]
+        return [dict(zip(("off", "len", "stored_off", "stored_len", "codec"), e, strict=True)) for e in struct.iter_unpack(_ENTRY, b)]
 
     return _mapped(one, schemas.PACK_INDEX)(data)
 
 
 def encode_pack_index(entries: list[tuple]) -> bytes:
-    return b"".join(_ENTRY.pack(*e) for e in entries)
+    return b"".join(struct.pack(_ENTRY, *e) for e in entries)
 
 
 def access_list(data: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ def blob_id_parts(blob_id: Column) -> Column:
 def manifest_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """metadata.json files at tenant/workspace/user/owner/version; paths of another depth are skipped."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").option("multiLine", "true").json(path)
-    parts = F.split(F.regexp_replace("__file", r"^.*?" + path.rstrip("/").rsplit("/", 1)[-1] + "/", ""), "/")
-    rows = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__parts", parts).where(F.size("__parts") == 6)
     names = ("tenant", "workspace", "user_field", "owner_key", "version")
-    return rows.select(*[F.col("__parts")[i].alias(n) for i, n in enumerate(names)], *[c for c in rows.columns if not c.startswith("__")])
+    pattern = re.escape(path.rstrip("/")) + "/([^/]+)" * len(names) + "/metadata\\.json$"
+    rows = rows.withColumn("__file", F.col("_metadata.file_path")).where(F.col("__file").rlike(pattern))
+    return rows.select(*[F.regexp_extract("__file", pattern, i).alias(n) for i, n in enumerate(names, 1)], *[c for c in rows.columns if c != "__file"])
 
 
 def manifest_payloads(manifests: DataFrame) -> DataFrame:
