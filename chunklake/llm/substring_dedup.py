@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, chunks, inside, keep, sequence_hash, signed, split_all
@@ -22,6 +22,8 @@ from .common import WordHashes, chunks, inside, keep, sequence_hash, signed, spl
 WINDOW = 50
 #: Words of the runs among which a window's anchor is chosen.
 RUN = 16
+#: A window's place in its text is below this bit; above it is the tag of the text among those of its doc_id.
+_TAG = 40
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -75,12 +77,13 @@ def _windows(window: int, run: int):
             words, ends = split_all(texts)
             h = hashes.of(words)
             least, w1, w2 = anchors(h, window, run), sequence_hash(h, window, 1), sequence_hash(h, window, 2)
-            ids, seen = part.column(0).to_pylist(), part.column(2)
+            ids, s1, s2, tags = (part.column(k).to_pylist() for k in (0, 2, 3, 4))
+            seen = part.column(5)
             out: list[list[np.ndarray]] = [[], [], [], []]
             for i, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
-                own = np.asarray(seen[i].values, np.int64)
-                at = lo + np.flatnonzero(np.isin(signed(least[lo : hi - window + 1]), own)) if hi - lo >= window else np.zeros(0, np.int64)
-                for c, v in zip(out, (signed(w1[at]), signed(w2[at]), np.full(len(at), ids[i], np.int64), (at - lo).astype(np.int32)), strict=True):
+                right = hi - lo >= window and sequence_id(words[lo:hi])[1:] == (s1[i], s2[i])
+                at = lo + np.flatnonzero(np.isin(signed(least[lo : hi - window + 1]), np.asarray(seen[i].values, np.int64))) if right else np.zeros(0, np.int64)
+                for c, v in zip(out, (signed(w1[at]), signed(w2[at]), np.full(len(at), ids[i], np.int64), at - lo + (tags[i] << _TAG)), strict=True):
                     c.append(v)
             for k in range(0, len(ids), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c[k : k + 64])) for c in out], names=["w1", "w2", "doc_id", "at"])
@@ -91,10 +94,10 @@ def _windows(window: int, run: int):
 class Repeats:
     """Repeated windows of a table of documents.
 
-    head: heads() of every row. repeated: (s1, s2, rep) for each sequence of window words or more, rep
-    being the smallest doc_id that has it. candidates: doc_id and text of those that may share a window. starts: (doc_id,
-    starts) of repeated windows in rep documents, as arrays, each bounded by its document's length.
-    Rows whose doc_id is null take no part.
+    head: heads() of every row. reps: (s1, s2, rep, tag) for each sequence of window words or more, rep being the
+    smallest doc_id that has it, and tag its number among the sequences of that doc_id (0, where doc_id is unique).
+    candidates: doc_id, text and sequence of those that may share a window. starts: (doc_id, tag, starts) of repeated windows in
+    them, as arrays, each bounded by its document's length. Rows whose doc_id is null take no part.
     """
 
     def __init__(self, docs: DataFrame, window: int = WINDOW, run: int = RUN, key: str = "doc_id", text: str = "text"):
@@ -104,17 +107,20 @@ class Repeats:
         rows = _rows(docs, key, text)
         self.head = keep(heads(rows, window, run), "substring-heads")
         long = self.head.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-        self.reps = keep(long.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "substring-reps")
-        first = long.join(self.reps.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"])
-        found = first.select("doc_id", F.explode("anchors").alias("anchor"))
-        shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-        wanted = found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        self.candidates = keep(rows.join(wanted, "doc_id"), "substring-candidates")
-        hits = self.candidates.mapInArrow(_windows(window, run), "w1 long, w2 long, doc_id long, at int")
+        tag = F.row_number().over(Window.partitionBy("rep").orderBy("s1", "s2")) - 1
+        self.reps = keep(long.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).withColumn("tag", tag.cast("long")), "substring-reps")
+        first = long.join(self.reps.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"])
+        found = first.select("doc_id", "tag", F.explode("anchors").alias("anchor"))
+        # Tables of their own on both sides of a join, so that a hot key can be split when it runs.
+        shared = keep(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "substring-anchors")
+        wanted = found.join(shared, "anchor").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("anchors"))
+        wanted = wanted.join(self.reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "tag"])
+        self.candidates = keep(rows.join(wanted, "doc_id").select("doc_id", "text", "s1", "s2", "tag", "anchors"), "substring-candidates")
+        hits = self.candidates.mapInArrow(_windows(window, run), "w1 long, w2 long, doc_id long, at long")
         hits = keep(hits, "substring-windows")
-        earliest = hits.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-        later = hits.join(earliest, ["w1", "w2"]).where("doc_id > lo")
-        self.starts = keep(later.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("starts")), "substring-starts")
+        earliest = keep(hits.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "substring-repeated")
+        later = hits.join(earliest, ["w1", "w2"]).where("doc_id > lo").select("doc_id", F.shiftright("at", _TAG).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << _TAG) - 1)).alias("at"))
+        self.starts = keep(later.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("at")).alias("starts")), "substring-starts")
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -146,16 +152,15 @@ def digest(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: str = "do
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
             cols: list[list] = [[], [], [], []]
-            for t, s in zip(texts, part.column(2), strict=True):
+            for t, s1, s2, s in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4), strict=True):
                 words = t.split()
-                _, s1, s2 = sequence_id(words)
-                starts = np.asarray(s.values, np.int64)
-                kept = _without(words, merged(starts[starts + window <= len(words)], window))
-                for c, v in zip(cols, (s1, s2, len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
-                    c.append(v)
+                if sequence_id(words)[1:] == (s1, s2):  # else another text of a repeated doc_id
+                    kept = _without(words, merged(np.asarray(s.values, np.int64), window))
+                    for c, v in zip(cols, (s1, s2, len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()), strict=True):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["s1", "s2", "n_removed", "kept_sha256"])
 
-    cut = found.candidates.select("doc_id", "text").join(found.starts, "doc_id").select("doc_id", "text", "starts").mapInArrow(go, "s1 long, s2 long, n_removed long, kept_sha256 string")
+    cut = found.candidates.join(found.starts, ["doc_id", "tag"]).select("doc_id", "text", "s1", "s2", "starts").mapInArrow(go, "s1 long, s2 long, n_removed long, kept_sha256 string")
     cut = cut.groupBy("s1", "s2").agg(F.max("n_removed").alias("n_removed"), F.max("kept_sha256").alias("kept_sha256"))
     head = found.head.select("doc_id", "n_words", "s1", "s2", "sha")
     out = ["doc_id", "n_words", "n_removed", "kept_sha256"]
@@ -176,8 +181,8 @@ def remove(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: str = "do
     found = Repeats(docs, window, run, key, text)
     own, size, reps = f"`{text}`", window, found.reps
     ids = found.head.where((F.col("n_words") >= size) & F.col("doc_id").isNotNull()).join(reps, ["s1", "s2"])
-    spans = ids.where("doc_id <> rep").select("doc_id", "s1", "s2", F.array(F.lit(-1)).alias("starts"))
-    spans = spans.unionByName(ids.where("doc_id = rep").join(found.starts, "doc_id").select("doc_id", "s1", "s2", "starts"))
+    spans = ids.where("doc_id <> rep").select("doc_id", "s1", "s2", F.array(F.lit(-1).cast("long")).alias("starts"))
+    spans = spans.unionByName(ids.where("doc_id = rep").join(found.starts, ["doc_id", "tag"]).select("doc_id", "s1", "s2", "starts"))
     spans = spans.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("s1", "s2", "starts")).alias("__spans"))
     joined = docs.join(spans, F.col(f"`{key}`").cast("long") == F.col("__doc"), "left").drop("__doc")
     names = docs.columns
