@@ -27,10 +27,10 @@ from .common import chunks, keep, signed
 #: Frequent words whose counts are sent to every worker: 16 bytes each.
 FREQUENT = 262_144
 #: Of every so many windows of a training document, one is trained on, the first included: it grows with the input.
-TRAIN_EVERY = 24
+TRAIN_EVERY = 32
 #: Windows that one trainer sees in a round, and rounds; after a round, weights are averaged.
 TRAINER_WINDOWS, ROUNDS = 50_000, 2
-WORDS_CACHED = 300_000
+WORDS_CACHED = 400_000
 #: The published pattern of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _OTHER_SPACE = re.compile(r"[^\S ]|[\x1c-\x1f]")
