@@ -141,10 +141,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: f
 
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, with all their columns, each row as often as its rate says: the whole part, and once more where a hash of the id, as a number in [0, 1), lies below the rest."""
-    rated = mix(docs, labels, weights, growth, key, text).groupBy("doc").agg(F.max("rate").alias("__rate"))
+    rated = mix(docs, labels, weights, growth, key, text).groupBy(F.col("doc").alias("__rated")).agg(F.max("rate").alias("__rate"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     doc = F.xxhash64(F.col(f"`{key}`").alias("doc_id"), body.alias("body"))
     draw = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("draw")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     times = F.floor(F.col("__rate") + draw).cast("int")
-    rows = docs.withColumn("__doc", doc).join(rated, F.col("__doc") == F.col("doc")).withColumn("__times", times).where("__times > 0")
+    rows = docs.withColumn("__doc", doc).join(rated, F.col("__doc") == F.col("__rated")).withColumn("__times", times).where("__times > 0")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
