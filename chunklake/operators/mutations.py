@@ -130,6 +130,16 @@ def rename(edges: DataFrame, moves: DataFrame) -> DataFrame:
     return delete(delete(edges, there, key), target, key).unionByName(moved)
 
 
+def exchange(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """edges after each pair of entries (parent, name, to_parent, to_name) that both exist has swapped inodes."""
+    key = ["parent", "name"]
+    a = edges.select(*key, F.col("inode").alias("__a"))
+    b = edges.select(F.col("parent").alias("to_parent"), F.col("name").alias("to_name"), F.col("inode").alias("__b"))
+    both = pairs.join(a, key).join(b, ["to_parent", "to_name"])
+    new = both.select(*key, F.col("__b").alias("__new")).unionByName(both.select(F.col("to_parent").alias("parent"), F.col("to_name").alias("name"), F.col("__a").alias("__new")))
+    return edges.join(new, key, "left").withColumn("inode", F.coalesce("__new", "inode")).select(*edges.columns)
+
+
 def write_slices(slices: DataFrame, new: DataFrame) -> DataFrame:
     """Slices with new ones; an (inode, slice_id) that is there already was replayed and changes nothing."""
     return insert_if_absent(slices, new, ["inode", "slice_id"])

@@ -10,21 +10,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy(items: DataFrame, group: str, order: list[str], size: str, target: int) -> DataFrame:
+def greedy(items: DataFrame, group: str, order: list[str], size: str, target: int, breaks: tuple[str, ...] = ()) -> DataFrame:
     """items with pack_no: items of a group, in order, fill a pack until it holds target bytes or more; then the next begins at 0.
+    A change in a column of `breaks` closes a pack that holds anything.
 
     An ordered fold: the overshoot of a pack is dropped, so it isn't a running sum divided by the target. Each group is
     sorted in one partition and streamed through; memory doesn't grow with the group. The order is part of the result.
     """
     at = items.columns.index(size), items.columns.index(group)
+    cut = [items.columns.index(b) for b in breaks]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pack, filled = object(), 0, 0
+        now, last, pack, filled = object(), (), 0, 0
         for batch in batches:
             out = np.empty(batch.num_rows, np.int64)
-            for i, (n, g) in enumerate(zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist(), strict=True)):
+            kinds = list(zip(*[batch.column(c).to_pylist() for c in cut], strict=True)) if cut else [()] * batch.num_rows
+            for i, (n, g, kind) in enumerate(zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist(), kinds, strict=True)):
                 if g != now:
-                    now, pack, filled = g, 0, 0
+                    now, last, pack, filled = g, kind, 0, 0
+                elif kind != last:
+                    pack, filled, last = pack + (filled > 0), 0, kind
                 out[i] = pack
                 filled += n
                 if filled >= target:

@@ -313,3 +313,24 @@ def test_registered_chunks_are_checked(spark):
     index = spark.createDataFrame([("d", "h", "p", 0, 5), ("d", "g", "p", 5, 5)], s)
     wanted = spark.createDataFrame([("d", "h", "p", 0, 5), ("d", "g", "p", 0, 5), ("d", "x", "p", 0, 5)], s)
     assert {r["chunk_hash"]: r["status"] for r in chunks.check_registered(wanted, index).collect()} == {"h": "ok", "g": "mismatch", "x": "absent"}
+
+
+def test_exchange_swaps_both(spark):
+    edges = spark.createDataFrame([(1, "a", 10), (1, "b", 11), (1, "c", 12)], "parent bigint, name string, inode bigint")
+    pairs = spark.createDataFrame([(1, "a", 1, "b"), (1, "c", 1, "none")], "parent bigint, name string, to_parent bigint, to_name string")
+    assert {r["name"]: r["inode"] for r in mutations.exchange(edges, pairs).collect()} == {"a": 11, "b": 10, "c": 12}
+
+
+def test_plans_push_down_and_don_t_cross(spark, capsys):
+    """Filters and columns reach the scan, and no query compares all rows with all rows."""
+    from chunklake.plans import registry
+    from tests.conftest import SF
+
+    df = listing.newest(tables.table(spark, SF, "pages").select(F.col("url").alias("ref"), F.lit(1).alias("created_at")), "http://m.")
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "StringStartsWith(url,http://m.)" in plan and "ReadSchema: struct<url:string>" in plan
+    for name in ("overlay_segments", "orphan_packs", "dedup_probe_fixed", "lock_conflicts", "interval_merge"):
+        registry.queries()[name](spark, SF).explain("formatted")
+        plan = capsys.readouterr().out
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
