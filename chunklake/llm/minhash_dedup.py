@@ -248,7 +248,8 @@ def groups(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "
     own = ["doc_id", "s1", "s2"]
     reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
     members = full.select(*own, "bands").join(reps, own).select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("band", "hub")
+    # Tables of their own on both sides of a join, so that a hot band or class can be split when it runs.
+    hubs = keep(members.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("band", "hub"), "minhash-hubs")
     met = keep(members.join(hubs, "band"), "minhash-met")  # bands that several classes share
     stars = met.where("id > hub").groupBy("id", "hub").count()
     best = stars.groupBy("id").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("best"))
@@ -274,7 +275,7 @@ def groups(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "
     more = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInArrow(_linked(setting.percent), "a long, b long")
     comp = components(linked.unionByName(links).unionByName(more)).select(F.col("id").alias("rep"), "component")
 
-    of_class = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    of_class = keep(classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id")), "minhash-components")
     narrow = sig.select("doc_id", "n", "s1", "s2")
     alone = narrow.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     rest = narrow.where("n > 0 and doc_id is not null").join(of_class, ["s1", "s2"]).select("doc_id", "n", "component_id")
