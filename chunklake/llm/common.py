@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; longer single texts are a step of their own.
 CHUNK_BYTES = 1 << 20
-#: Entries that a worker's word cache may hold before it starts anew.
-CACHE_WORDS = 300_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -34,10 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage is cut, and lost executors lose nothing."""
+def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes df as Parquet into the shared folder, in folders `by` columns, and reads it back: lineage is cut, and lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -67,17 +66,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def coded(column: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words of a column of texts: the distinct ones, the number of each word among them in the order of the texts, and the offsets of each text's words.
+
+    Null has no words. `lower` lower-cases A-Z. Arrow splits at exactly the six ASCII spaces, and gives empty parts at the ends of a text, which are left out.
+    """
+    texts = column.cast(pa.large_binary()).view(pa.large_string()).fill_null("")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat = parts.flatten().dictionary_encode()
+    words, codes = flat.dictionary.cast(pa.large_binary()).to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    full = codes != (words.index(b"") if b"" in words else -1)
+    return words, codes[full], np.concatenate([[0], np.cumsum(full)])[offsets]
 
 
 def values(column: pa.Array) -> list[bytes]:
@@ -92,7 +97,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             continue
         at = batch.schema.get_field_index(column)
         col = batch.column(at).cast(pa.large_binary())
-        sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(col).to_pylist()], np.int64)
+        sizes = np.array([0 if n is None else n for n in pc.binary_length(col).to_pylist()], np.int64)
         group = np.cumsum(sizes) // CHUNK_BYTES
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
         for lo, hi in zip(edges, edges[1:], strict=False):
@@ -100,16 +105,6 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield part, values(part.column(at))
 
 
-def split_all(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words of all texts, and the offsets of each text's words. bytes.split() splits at exactly the six ASCII spaces."""
-    words: list[bytes] = []
-    ends = np.zeros(len(texts) + 1, np.int64)
-    for i, t in enumerate(texts):
-        words += t.split()
-        ends[i + 1] = len(words)
-    return words, ends
-
-
 def sequence_hash(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """64-bit Rabin-Karp hashes of every run of width values: a polynomial modulo 2**64 over hashed words, by prefix sums, finished by mix."""
     n = len(h) - width + 1

@@ -22,20 +22,19 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .attention import Shape
-from .common import chunks, keep, signed
+from .common import chunks, coded, keep, signed
 
 #: Frequent words whose counts are sent to every worker: 16 bytes each.
-FREQUENT = 262_144
+FREQUENT = 524_288
 #: Of every so many windows of a training document, one is trained on, the first included: it grows with the input.
 TRAIN_EVERY = 32
 #: Windows that one trainer sees in a round, and rounds; after a round, weights are averaged.
-TRAINER_WINDOWS, ROUNDS = 50_000, 2
+TRAINER_WINDOWS, ROUNDS = 50_000, 1
 WORDS_CACHED = 400_000
 #: The published pattern of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _OTHER_SPACE = re.compile(r"[^\S ]|[\x1c-\x1f]")
 _END = b""  # no word is empty
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 class _Numbers(dict):
@@ -69,23 +68,24 @@ class Subwords:
         self.numbers = _Numbers()
         self.hash, self.start, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def group(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words, an end after each text, and the offsets of the texts."""
         if self.full():
             self.forget()
-        words, ends = [], [0]
-        for t in texts:
-            words += t.translate(_LOWER).split()
-            words.append(_END)
-            ends.append(len(words))
+        words, codes, ends = coded(texts, lower=True)
         known = self.numbers
-        numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        end = known[_END]
+        own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[codes]
         new, known.new = known.new, []
+        n = np.diff(ends)
+        numbers = np.full(len(own) + len(n), end, np.int64)
+        numbers[np.arange(len(own)) + np.repeat(np.arange(len(n)), n)] = own
+        ends = ends + np.arange(len(ends))
         ids = self._encoded(new)
         self.hash = np.concatenate([self.hash, np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(i) for i in ids], dtype=np.int64)])
         self.ids = np.concatenate([self.ids, np.array([x for i in ids for x in i], np.int32)])
-        return numbers, np.array(ends)
+        return numbers, ends
 
     def _encoded(self, words: list[bytes]) -> list[list[int]]:
         """Subword ids of each word after a space. Words are encoded in one go where each id that starts with a space starts a word."""
@@ -158,13 +158,13 @@ def gather(rows: DataFrame, ranks, shape: Shape) -> DataFrame:
             lists = pa.nulls(len(k), pa.list_(pa.int32())) if ids is None else pa.array(ids, pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k, pa.int64()), pa.array(c, pa.int64()), lists], names=["kind", "k", "c", "ids"])
 
-        for _, texts in chunks(batches):
+        for part, _ in chunks(batches):
             if sub.full():  # counts of a task leave it once a cache, not once a chunk
                 yield out(0, signed(sub.hash[: len(seen)]), seen)
                 total += sub.totals(seen)
                 sub.forget()
                 seen = np.zeros(0, np.int64)
-            numbers, ends = sub.group(texts)
+            numbers, ends = sub.group(part.column(part.schema.get_field_index("text")))
             n = np.bincount(numbers, minlength=len(sub.hash))
             n[: len(seen)] += seen
             seen, before = n, sub.sizes(numbers)
@@ -268,7 +268,7 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the input
     held = F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), held.alias("held_out"), F.col(f"`{text}`").cast("binary").alias("text"))
-    got = keep(gather(rows.where(~F.col("held_out")).select("doc_id", "text"), ranks, shape), "lm-gathered")
+    got = keep(gather(rows.where(~F.col("held_out")).select("doc_id", "text"), ranks, shape), "lm-gathered", "kind")
     counts = keep(got.where("kind = 0").groupBy("k").agg(F.sum("c").alias("c")), "lm-words")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     size = Subwords(ranks.value).size
@@ -287,7 +287,7 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
         weights, maps, inner, top_hash, top_count = sent.value
         model = attention.Scorer(weights)
         for part, texts in chunks(batches):
-            numbers, ends = sub.group(texts)
+            numbers, ends = sub.group(part.column(part.schema.get_field_index("text")))
             owner = np.repeat(np.arange(len(texts)), np.diff(ends))
             h = sub.hash
             at = np.minimum(np.searchsorted(top_hash, h), max(0, len(top_hash) - 1))

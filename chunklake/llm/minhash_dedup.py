@@ -23,14 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, inside, keep, mix, signed, split_all
+from .common import chunks, coded, keep, mix, signed, word_hashes
 from .components import components
 
 SLOTS, BANDS = 256, 32
 #: Members up to which a band is compared on sketches, and rows of a block in larger ones.
 HOT, BLOCK = 128, 512
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 @dataclass(frozen=True)
@@ -42,10 +41,10 @@ class Setting:
     bands: int = BANDS
 
 
-def shingle_sets(texts: list[bytes], width: int, words: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every text: A-Z lower-cased; fewer words than `width` are one shingle; no words, none."""
-    split, ends = split_all([t.translate(_LOWER) for t in texts])
-    h = words.of(split)
+    words, codes, ends = coded(texts, lower=True)
+    h = word_hashes(words)[codes]
     with np.errstate(over="ignore"):
         s = np.zeros(max(0, len(h) - width + 1), np.uint64)
         for k in range(width):
@@ -124,9 +123,8 @@ def signatures(rows: DataFrame, setting: Setting) -> DataFrame:
     """doc_id, n (set size), s1 and s2 (hash of the set), bands and sketch (one byte a slot) of every row; null bands for empty sets."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for part, texts in chunks(batches):
-            sets = shingle_sets(texts, setting.shingle, words)
+        for part, _ in chunks(batches):
+            sets = shingle_sets(part.column(1), setting.shingle)
             for lo in range(0, len(sets), 256):
                 own = sets[lo : lo + 256]
                 sig = superminhash(own)
@@ -144,9 +142,8 @@ def _full_sets(width: int):
     """From (doc_id, text, s1, s2): doc_id and the items of its set, where that is the set in question."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for part, texts in chunks(batches):
-            sets = shingle_sets(texts, width, words)
+        for part, _ in chunks(batches):
+            sets = shingle_sets(part.column(1), width)
             right = [_set_id(s) == (x, y) for s, x, y in zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"]).filter(pa.array(right, pa.bool_()))
 

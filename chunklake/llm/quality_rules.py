@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, inside, plain, sequence_hash, split_all
+from .common import chunks, coded, inside, plain, sequence_hash, word_hashes
 
 #: Characters that count as symbols, fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -37,8 +37,8 @@ _KIND[ord("a") : ord("z") + 1] = 16
 class Measures:
     """Measures of some texts, each worked out when first asked for."""
 
-    def __init__(self, texts: list[bytes], words: WordHashes):
-        self.texts, self._words, self._known = texts, words, {}
+    def __init__(self, texts: list[bytes], column: pa.Array | None = None):
+        self.texts, self._column, self._known = texts, pa.array(texts, pa.large_binary()) if column is None else column, {}
 
     def __getitem__(self, name: str) -> np.ndarray:
         if name not in self._known:
@@ -54,15 +54,21 @@ class Measures:
 
     _word_chars = _n_symbols = _n_upper = _n_lower = _bytes
 
+    def _ends(self) -> None:
+        _ = self["n_words"]
+
     def _split(self) -> None:
-        words, ends = split_all(self.texts)
-        self._known |= {"words": words, "ends": ends, "n_words": np.diff(ends)}
+        words, codes, ends = coded(self._column)
+        self._known |= {"words": words, "codes": codes, "ends": ends, "n_words": np.diff(ends)}
 
     _n_words = _split
 
-    def _n_same_next(self) -> None:
+    def _hashes(self) -> None:
         _ = self["n_words"]
-        h, ends = self._words.of(self._known["words"]), self._known["ends"]
+        self._known["hashes"] = word_hashes(self._known["words"])[self._known["codes"]]
+
+    def _n_same_next(self) -> None:
+        h, ends = self["hashes"], self["ends"]
         same = np.zeros(len(h) + 1, np.int64)
         same[1:-1] = h[1:] == h[:-1]
         same[ends[:-1]] = 0  # a text's first word follows none
@@ -79,10 +85,9 @@ class Measures:
     _n_lines = _n_dup_lines
 
     def _n_repeat_words(self) -> None:
-        _ = self["n_words"]
-        words, ends = self._known["words"], self._known["ends"]
-        covered = np.zeros(len(words) + 1, np.int64)
-        h = sequence_hash(self._words.of(words), REPEAT_WINDOW)
+        own, ends = self["hashes"], self["ends"]
+        covered = np.zeros(len(own) + 1, np.int64)
+        h = sequence_hash(own, REPEAT_WINDOW)
         starts = np.flatnonzero(inside(ends, REPEAT_WINDOW))
         if len(starts):
             doc = np.searchsorted(ends, starts, side="right").astype(np.uint64)
@@ -127,11 +132,10 @@ def estimate(docs: DataFrame, rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS
     """(rule, seconds, rows rejected) on at most `rows` rows, measured on an executor; a handful of rows reach the driver."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for _, texts in chunks(batches):
             for r in rules:
                 began = time.perf_counter()
-                lost = int(np.sum(r.rejects(Measures(texts, words))))
+                lost = int(np.sum(r.rejects(Measures(texts))))
                 yield pa.RecordBatch.from_pydict({"rule": [r.name], "s": [time.perf_counter() - began], "lost": [lost]})
 
     sample = docs.select(F.col("`text`").cast("binary").alias("text")).limit(rows)
@@ -145,13 +149,13 @@ def ordered(docs: DataFrame, rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS)
     return sorted(rules, key=lambda r: -gain.get(r.name, 0))
 
 
-def verdicts(texts: list[bytes], rules: list[Rule], words: WordHashes) -> tuple[np.ndarray, list[str | None]]:
+def verdicts(texts: list[bytes], rules: list[Rule]) -> tuple[np.ndarray, list[str | None]]:
     """kept, and the first rule of the cascade that rejected each text."""
     left, by = np.arange(len(texts)), [None] * len(texts)
     for r in rules:
         if not len(left):
             break
-        bad = r.rejects(Measures([texts[i] for i in left], words))
+        bad = r.rejects(Measures([texts[i] for i in left]))
         for i in left[bad]:
             by[i] = r.name
         left = left[~bad]
@@ -170,9 +174,8 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for part, texts in chunks(batches):
-            m = Measures(texts, words)  # every count is part of this result, so the rules share them
+            m = Measures(texts, part.column(1))  # every count is part of this result, so the rules share them
             left = np.ones(len(texts), bool)
             for r in rules:
                 if not left.any():
@@ -189,9 +192,8 @@ def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) ->
     rules = ordered(plain(docs, text).withColumnRenamed(text, "text"), rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for part, texts in chunks(batches, text):
-            kept, _ = verdicts(texts, rules, words)
+            kept, _ = verdicts(texts, rules)
             yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, chunks, inside, keep, sequence_hash, signed, split_all
+from .common import chunks, coded, keep, sequence_hash, signed, word_hashes
 
 WINDOW = 50
 #: Words of the runs among which a window's anchor is chosen.
@@ -54,13 +54,12 @@ def heads(docs: DataFrame, window: int, run: int) -> DataFrame:
     """doc_id, n_words, s1 and s2 (hash of the word sequence), sha (of all words) and anchors (distinct) of every row."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, texts in chunks(batches):
-            words, ends = split_all(texts)
-            least = anchors(hashes.of(words), window, run)
+            words, codes, ends = coded(part.column(1))
+            least = anchors(word_hashes(words)[codes], window, run)
             cols: list[list] = [[], [], [], [], []]
-            for lo, hi in zip(ends.tolist(), ends[1:].tolist(), strict=False):
-                joined, s1, s2 = sequence_id(words[lo:hi])
+            for t, lo, hi in zip(texts, ends.tolist(), ends[1:].tolist(), strict=False):
+                joined, s1, s2 = sequence_id(t.split())
                 own = np.unique(least[lo : hi - window + 1]) if hi - lo >= window else least[:0]
                 for c, v in zip(cols, (hi - lo, s1, s2, hashlib.sha256(joined).hexdigest(), signed(own)), strict=True):
                     c.append(v)
@@ -72,16 +71,15 @@ def heads(docs: DataFrame, window: int, run: int) -> DataFrame:
 
 def _windows(window: int, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for part, texts in chunks(batches):
-            words, ends = split_all(texts)
-            h = hashes.of(words)
+            words, codes, ends = coded(part.column(1))
+            h = word_hashes(words)[codes]
             least, w1, w2 = anchors(h, window, run), sequence_hash(h, window, 1), sequence_hash(h, window, 2)
             ids, s1, s2, tags = (part.column(k).to_pylist() for k in (0, 2, 3, 4))
             seen = part.column(5)
             out: list[list[np.ndarray]] = [[], [], [], []]
             for i, (lo, hi) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
-                right = hi - lo >= window and sequence_id(words[lo:hi])[1:] == (s1[i], s2[i])
+                right = hi - lo >= window and sequence_id(texts[i].split())[1:] == (s1[i], s2[i])
                 at = lo + np.flatnonzero(np.isin(signed(least[lo : hi - window + 1]), np.asarray(seen[i].values, np.int64))) if right else np.zeros(0, np.int64)
                 for c, v in zip(out, (signed(w1[at]), signed(w2[at]), np.full(len(at), ids[i], np.int64), at - lo + (tags[i] << _TAG)), strict=True):
                     c.append(v)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunklake.llm import attention, bpe, lm_scoring, minhash_dedup, mixing, neighbours, quality_rules, registry, sharding, substring_dedup, token_counts, url_filter
-from chunklake.llm.common import WordHashes, sequence_hash
+from chunklake.llm.common import coded, sequence_hash
 from chunklake.llm.components import components
 from tests.conftest import SF
 from tests.llm.conftest import words
@@ -227,7 +227,7 @@ def test_quality_on_odd_rows(odd, none):
 
 def test_cascade_order_changes_no_verdict(odd):
     texts = [(t or "").encode() for _, t in docs_of(odd)]
-    kept = {tuple(quality_rules.verdicts(texts, list(o), WordHashes())[0]) for o in itertools.islice(itertools.permutations(quality_rules.RULES), 0, 720, 90)}
+    kept = {tuple(quality_rules.verdicts(texts, list(o))[0]) for o in itertools.islice(itertools.permutations(quality_rules.RULES), 0, 720, 90)}
     assert len(kept) == 1
     assert {r.name for r in quality_rules.ordered(odd)} == {r.name for r in quality_rules.RULES}
     assert quality_rules.keep_good(odd).columns == odd.columns
@@ -501,3 +501,14 @@ def test_windows_score_each_token_once(sizes):
     for t, b, s in zip(text, begin, score, strict=True):
         seen[t][s : b + shape.window] += 1
     assert all((x == 1).all() for x in seen)
+
+
+def test_words_are_the_contract_s(odd):
+    import pyarrow as pa
+
+    texts = [t for _, t in docs_of(odd)] + [" a  b\x0bc\x1cd\x85e \n", "AÀB", " "]
+    for column in (pa.array(texts), pa.array([None if t is None else t.encode() for t in texts], pa.binary())[1:]):
+        for lower in (False, True):
+            words, codes, ends = coded(column, lower)
+            for t, lo, hi in zip(texts[len(texts) - len(column) :], ends, ends[1:], strict=False):
+                assert [words[c].decode() for c in codes[lo:hi]] == split((t or "").translate(LOW) if lower else t)
