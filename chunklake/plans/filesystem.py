@@ -173,7 +173,7 @@ QUERIES = {
     "fs_stats_by_type": (fs_stats_by_type, """
         SELECT *, CASE WHEN live_bytes > 0 THEN logical * 1000 // live_bytes ELSE 0 END AS source_to_live_ratio_milli FROM (SELECT count(*) FILTER (WHERE type = 'file') AS files, count(*) FILTER (WHERE type = 'dir') AS dirs, 0::BIGINT AS others, CAST(coalesce(sum(length) FILTER (WHERE type = 'file'), 0) AS BIGINT) AS logical FROM nodes),
         (SELECT count(*) AS slices, count(DISTINCT slice_id) AS distinct_slices, CAST(sum(slen) AS BIGINT) AS live_bytes FROM slices)"""),
-    "unlink_files": (unlink_files, "SELECT inode, type, 1 AS nlink, CASE WHEN parent = 0 THEN NULL ELSE parent END AS parent FROM nodes WHERE parent <> 100"),
+    "unlink_files": (unlink_files, "SELECT inode, type, 1::BIGINT AS nlink, CASE WHEN parent = 0 THEN NULL ELSE parent END AS parent FROM nodes WHERE parent <> 100"),
     "rename_nation": (rename_nation, "SELECT CASE WHEN parent = 10 THEN 11 ELSE parent END AS parent, CASE WHEN parent = 10 THEN 'moved-' || name ELSE name END AS name, inode FROM nodes WHERE parent <> 0"),
     "hash_watermark": (hash_watermark, f"SELECT inode, lsn, bool_and(off = o) OVER (PARTITION BY inode ORDER BY lsn) AS valid FROM ({_WRITES})"),
     "sequential_runs": (sequential_runs, f"""
