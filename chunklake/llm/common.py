@@ -71,12 +71,17 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def values(column: pa.Array) -> list[bytes]:
+    """Texts as bytes; null is the empty text."""
+    return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
+
+
 def coded(column: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Words of a column of texts: the distinct ones, the number of each word among them in the order of the texts, and the offsets of each text's words.
 
     Null has no words. `lower` lower-cases A-Z. Arrow splits at exactly the six ASCII spaces, and gives empty parts at the ends of a text, which are left out.
     """
-    texts = column.cast(pa.large_binary()).view(pa.large_string()).fill_null("")
+    texts = pa.array(values(column), pa.large_binary()).view(pa.large_string())  # laid out anew: the view of a slice would be lower-cased from the wrong place
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = parts.flatten().dictionary_encode()
     words, codes = flat.dictionary.cast(pa.large_binary()).to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -85,11 +90,6 @@ def coded(column: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarra
     return words, codes[full], np.concatenate([[0], np.cumsum(full)])[offsets]
 
 
-def values(column: pa.Array) -> list[bytes]:
-    """Texts as bytes; null is the empty text."""
-    return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
-
-
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about CHUNK_BYTES of text each, and their texts."""
     for batch in batches:

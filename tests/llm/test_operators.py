@@ -512,3 +512,22 @@ def test_words_are_the_contract_s(odd):
             words, codes, ends = coded(column, lower)
             for t, lo, hi in zip(texts[len(texts) - len(column) :], ends, ends[1:], strict=False):
                 assert [words[c].decode() for c in codes[lo:hi]] == split((t or "").translate(LOW) if lower else t)
+
+
+def test_words_of_slices_of_a_large_batch():
+    import pyarrow as pa
+
+    from chunklake.llm.common import chunks
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"Word{i}" for i in rng.integers(0, 5000, int(rng.integers(0, 9000)))) for _ in range(120)]
+    for kind in (pa.binary(), pa.large_binary()):
+        batch = pa.RecordBatch.from_arrays([pa.array([None, *[t.encode() for t in texts]], kind)], names=["text"])
+        seen = 0
+        for part, own in chunks(iter([batch])):
+            for lower in (False, True):
+                words, codes, ends = coded(part.column(0), lower)
+                assert [words[c] for c in codes] == [w for t in own for w in (t.lower() if lower else t).split()]
+                assert np.diff(ends).tolist() == [len(t.split()) for t in own]
+            seen += 1
+        assert seen > 2
