@@ -76,6 +76,14 @@ def values(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
+def _cut(array: pa.LargeStringArray) -> list[bytes]:
+    """The values as bytes, cut from the array's buffer: a scalar for each would cost more than all else."""
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1].tolist() if len(array) else [0]
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def coded(column: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Words of a column of texts: the distinct ones, the number of each word among them in the order of the texts, and the offsets of each text's words.
 
@@ -84,7 +92,7 @@ def coded(column: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarra
     texts = pa.array(values(column), pa.large_binary()).view(pa.large_string())  # laid out anew: the view of a slice would be lower-cased from the wrong place
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = parts.flatten().dictionary_encode()
-    words, codes = flat.dictionary.cast(pa.large_binary()).to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    words, codes = _cut(flat.dictionary), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
     full = codes != (words.index(b"") if b"" in words else -1)
     return words, codes[full], np.concatenate([[0], np.cumsum(full)])[offsets]
