@@ -127,7 +127,7 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     return {"emb": demb, "pos": dx.reshape(b, w, d).sum(0), "qkv": x.reshape(-1, d).T @ dqkv, "out": c.T @ dh, "head": h.T @ logits, "bias": logits.sum(0)}
 
 
-def train(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int, rate: float = 1e-2, batch: int = 64, epochs: int = 1) -> dict[str, np.ndarray]:
+def train(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int, rate: float = 1e-2, batch: int = 32, epochs: int = 1) -> dict[str, np.ndarray]:
     """Adam over the windows, `epochs` times, in an order drawn from seed."""
     p = {n: v.copy() for n, v in p.items()}
     m, s = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))

@@ -59,12 +59,14 @@ class Subwords:
         self._spaced = np.zeros(self.size, bool)
         self._spaced[[i for piece, i in table.items() if piece.startswith(b" ")]] = True
         self._encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        self.era = 0
         self.forget()
 
     def full(self) -> bool:
         return len(self.numbers) > WORDS_CACHED
 
     def forget(self) -> None:
+        self.era += 1
         self.numbers = _Numbers()
         self.hash, self.start, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
@@ -286,12 +288,16 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
         sub = _subwords(ranks.value)
         weights, maps, inner, top_hash, top_count = sent.value
         model = attention.Scorer(weights)
+        count, era = np.zeros(0, np.int64), -1
         for part, texts in chunks(batches):
             numbers, ends = sub.group(part.column(part.schema.get_field_index("text")))
             owner = np.repeat(np.arange(len(texts)), np.diff(ends))
             h = sub.hash
-            at = np.minimum(np.searchsorted(top_hash, h), max(0, len(top_hash) - 1))
-            count = np.where(top_hash[at] == h, top_count[at], 0) if len(top_hash) else np.zeros(len(h), np.int64)
+            if era != sub.era:
+                count, era = np.zeros(0, np.int64), sub.era
+            new = h[len(count) :]
+            at = np.minimum(np.searchsorted(top_hash, new), max(0, len(top_hash) - 1))
+            count = np.concatenate([count, np.where(top_hash[at] == new, top_count[at], 0) if len(top_hash) else np.zeros(len(new), np.int64)])
             own = count[numbers]
             known = np.bincount(owner, own > 0, len(texts)).astype(np.int64)
             base = np.bincount(owner, np.log10(own + 1.0), len(texts))
