@@ -59,7 +59,7 @@ def _forward(p: dict[str, np.ndarray], inputs: np.ndarray):
         np.clip(s, None, 60, out=s)
     s += _mask(w)
     np.exp(s, out=s)
-    total = s.sum(2, keepdims=True)
+    total = s @ np.ones((w, 1), s.dtype)
     c = ((s @ v) / total).reshape(-1, d)
     h = x.reshape(-1, d) + c @ p["out"]
     logits = h @ p["head"] + p["bias"]
@@ -111,35 +111,56 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     d, n = p["out"].shape[0], max(1, int(real.sum()))
     x, q, k, v, a, total, c, h, logits = _forward(p, inputs)
     a /= total
-    logits -= logits.max(axis=1, keepdims=True)
+    if logits.max() > 60 or logits.min() < -60:
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    logits[np.arange(len(logits)), targets.ravel()] -= 1
-    logits *= (real.ravel() / n)[:, None].astype(np.float32)
+    share = (real.ravel() / n).astype(logits.dtype)
+    logits *= (share / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
+    logits[np.arange(len(logits)), targets.ravel()] -= share
     dh = logits @ p["head"].T
-    dc = (dh @ p["out"].T).reshape(b, w, d)
-    da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True)) * np.float32(d**-0.5)
-    dqkv = np.stack([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc], axis=2).reshape(-1, 3 * d)
+    dc = dh @ p["out"].T
+    along = (dc * c) @ np.ones((d, 1), dc.dtype)  # the sum over each row of da * a
+    dc = dc.reshape(b, w, d)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= along.reshape(b, w, 1)
+    ds *= a
+    ds *= np.float32(d**-0.5)
+    dqkv = np.empty((b, w, 3, d), dh.dtype)
+    dqkv[:, :, 0], dqkv[:, :, 1], dqkv[:, :, 2] = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
+    dqkv = dqkv.reshape(-1, 3 * d)
     dx = dh + dqkv @ p["qkv"].T
-    demb = np.zeros_like(p["emb"])
-    np.add.at(demb, inputs.ravel(), dx)
-    return {"emb": demb, "pos": dx.reshape(b, w, d).sum(0), "qkv": x.reshape(-1, d).T @ dqkv, "out": c.T @ dh, "head": h.T @ logits, "bias": logits.sum(0)}
+    demb, at = np.zeros_like(p["emb"]), inputs.ravel()
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    demb[at[first]] = np.add.reduceat(dx[order], first, axis=0)
+    return {"emb": demb, "pos": dx.reshape(b, w, d).sum(0), "qkv": x.reshape(-1, d).T @ dqkv, "out": c.T @ dh, "head": h.T @ logits, "bias": np.ones(len(logits), logits.dtype) @ logits}
 
 
 def train(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int, rate: float = 1e-2, batch: int = 32, epochs: int = 1) -> dict[str, np.ndarray]:
     """Adam over the windows, `epochs` times, in an order drawn from seed."""
-    p = {n: v.copy() for n, v in p.items()}
-    m, s = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
+    flat, at = pack(p), 0
+    like, p = p, {}
+    for n in SHAPES:  # views: one step moves them all
+        p[n] = flat[at : at + like[n].size].reshape(like[n].shape)
+        at += like[n].size
+    m, s, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     rng, t = np.random.default_rng(seed), 0
     for _ in range(epochs):
         order = rng.permutation(len(inputs))
         for lo in range(0, len(order), batch):
             at, t = order[lo : lo + batch], t + 1
-            for n, g in gradients(p, inputs[at], targets[at], real[at]).items():
-                m[n] = 0.9 * m[n] + 0.1 * g
-                s[n] = 0.999 * s[n] + 0.001 * g * g
-                p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(s[n] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+            g = pack(gradients(p, inputs[at], targets[at], real[at]))
+            m *= np.float32(0.9)
+            m += np.multiply(g, np.float32(0.1), out=step)
+            s *= np.float32(0.999)
+            g *= g
+            s += np.multiply(g, np.float32(0.001), out=step)
+            np.sqrt(np.multiply(s, np.float32(1 / (1 - 0.999**t)), out=step), out=step)
+            step += np.float32(1e-8)
+            np.divide(m, step, out=step)
+            step *= np.float32(rate / (1 - 0.9**t))
+            flat -= step
     return p
 
 

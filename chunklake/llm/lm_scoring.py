@@ -26,8 +26,8 @@ from .common import chunks, coded, keep, signed
 
 #: Frequent words whose counts are sent to every worker: 16 bytes each.
 FREQUENT = 524_288
-#: Of every so many windows of a training document, one is trained on, the first included: it grows with the input.
-TRAIN_EVERY = 32
+#: Windows of a training document that travel as one piece: every window is trained on.
+PIECE_WINDOWS = 256
 #: Windows that one trainer sees in a round, and rounds; after a round, weights are averaged.
 TRAINER_WINDOWS, ROUNDS = 50_000, 1
 WORDS_CACHED = 400_000
@@ -103,15 +103,6 @@ class Subwords:
                 return [[self.end_id] if w == _END else next(found) for w in words]
         return [[self.end_id] if w == _END else self._encoding.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
 
-    def sizes(self, numbers: np.ndarray) -> np.ndarray:
-        """Where the subwords of each word of the group begin, and where all of them end."""
-        return np.concatenate([[0], np.cumsum(self.start[numbers + 1] - self.start[numbers])])
-
-    def picked(self, numbers: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Subword ids of the group at these places."""
-        word = np.searchsorted(before, at, side="right") - 1
-        return self.ids[self.start[numbers[word]] + at - before[word]]
-
     def totals(self, counts: np.ndarray) -> np.ndarray:
         """How often each subword id occurs if the word of each number occurs that often."""
         n = np.diff(self.start[: len(counts) + 1])
@@ -148,17 +139,22 @@ def _laid(seq: np.ndarray, ends: np.ndarray, shape: Shape, maps: tuple[np.ndarra
     return text, inputs[safe], of_class[seq[safe]], real
 
 
+def _kind_of_ids(size: int) -> type:
+    """The smallest type that holds subword ids below size, and size itself, which stands before a text."""
+    return np.uint16 if size <= 0xFFFF else np.uint32
+
+
 def gather(rows: DataFrame, ranks, shape: Shape) -> DataFrame:
-    """What the training rows (doc_id, text) hold: kind 0, word hash k and count c; kind 1, subword id k and count c; kind 2, a window of ids (-1: before the text; its first id is the input before the window)."""
+    """What the training rows (doc_id, text) hold: kind 0, word hash k and count c; kind 1, subword id k and count c; kind 2, a piece of the text of document k, as ids after the one before it, and its number c of windows. The pieces have all windows between them."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = _subwords(ranks.value)
         sub.forget()
-        total, seen = np.zeros(sub.size, np.int64), np.zeros(0, np.int64)
+        total, seen, step = np.zeros(sub.size, np.int64), np.zeros(0, np.int64), shape.window - shape.overlap
 
         def out(kind: int, k: np.ndarray, c: np.ndarray, ids: list | None = None) -> pa.RecordBatch:
-            lists = pa.nulls(len(k), pa.list_(pa.int32())) if ids is None else pa.array(ids, pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k, pa.int64()), pa.array(c, pa.int64()), lists], names=["kind", "k", "c", "ids"])
+            pieces = pa.nulls(len(k), pa.binary()) if ids is None else pa.array(ids, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k, pa.int64()), pa.array(c, pa.int64()), pieces], names=["kind", "k", "c", "ids"])
 
         for part, _ in chunks(batches):
             if sub.full():  # counts of a task leave it once a cache, not once a chunk
@@ -169,22 +165,23 @@ def gather(rows: DataFrame, ranks, shape: Shape) -> DataFrame:
             numbers, ends = sub.group(part.column(part.schema.get_field_index("text")))
             n = np.bincount(numbers, minlength=len(sub.hash))
             n[: len(seen)] += seen
-            seen, before = n, sub.sizes(numbers)
-            offsets = before[ends]
+            seen = n
+            seq, offsets = sub.stream(numbers, ends)
             text, begin, _ = attention.windows(np.diff(offsets), shape)
-            take = (begin // (shape.window - shape.overlap)) % TRAIN_EVERY == 0
-            text, begin = text[take], begin[take]
-            at = (offsets[text] + begin)[:, None] + np.arange(-1, shape.window)
-            ids = sub.picked(numbers, before, np.clip(at, 0, before[-1] - 1))
-            ids[begin == 0, 0] = -1
-            size = np.minimum(shape.window, np.diff(offsets)[text] - begin) + 1
-            yield out(2, np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [w[:k] for w, k in zip(ids, size.tolist(), strict=True)])
+            head = (begin // step) % PIECE_WINDOWS == 0
+            lo = offsets[text[head]] + begin[head]
+            hi = np.minimum(lo + (PIECE_WINDOWS - 1) * step + shape.window, offsets[text[head] + 1])
+            seq = np.append(seq, sub.size).astype(_kind_of_ids(sub.size))
+            before = np.where(begin[head] == 0, sub.size, seq[lo - 1]).astype(seq.dtype)
+            doc = np.array([i or 0 for i in part.column(0).to_pylist()], np.int64)[text[head]]
+            count = np.diff(np.append(np.flatnonzero(head), len(head)))
+            yield out(2, doc, count, [b.tobytes() + seq[x:y].tobytes() for b, x, y in zip(before, lo.tolist(), hi.tolist(), strict=True)])
         yield out(0, signed(sub.hash[: len(seen)]), seen)
         total += sub.totals(seen)
         used = np.flatnonzero(total)
         yield out(1, used, total[used])
 
-    return rows.mapInArrow(go, "kind int, k long, c long, ids array<int>")
+    return rows.mapInArrow(go, "kind int, k long, c long, ids binary")
 
 
 def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -205,33 +202,40 @@ def maps_of(counts: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     return of_input, cls
 
 
+def _windows_of(pieces: list[bytes], maps: tuple[np.ndarray, np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and real positions of all windows of the pieces, in an order that doesn't depend on theirs."""
+    of_input, of_class = maps
+    kind = _kind_of_ids(len(of_class))
+    ids = np.frombuffer(b"".join(sorted(pieces)), kind)
+    ends = np.concatenate([[0], np.cumsum([len(x) // kind().itemsize for x in sorted(pieces)])])
+    text, begin, _ = attention.windows(np.diff(ends) - 1, shape)
+    at = (ends[text] + begin)[:, None] + np.arange(shape.window)
+    last = ends[text + 1][:, None] - 2
+    real = at <= last
+    at = np.minimum(at, last)
+    return of_input[ids[at]], of_class[ids[at + 1]], real
+
+
 def _trainer(flat: np.ndarray, maps: tuple[np.ndarray, np.ndarray], class_counts: np.ndarray, shape: Shape, seed: int):
     """One trainer's round: its windows, from the weights in flat; yields each weight times the number of windows."""
 
     def go(t: pa.Table) -> pa.Table:
-        ids = t.column("ids").combine_chunks()
-        n = np.diff(ids.offsets.to_numpy())
-        grid = np.full((len(n), shape.window + 1), -1, np.int64)
-        grid[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = ids.flatten().to_numpy()
-        real = np.arange(shape.window)[None, :] < (n - 1)[:, None]
-        order = np.lexsort(grid.T[::-1])  # the rows' order must not depend on the exchange
-        of_input, of_class = maps
-        inputs, targets = of_input[grid[order, :-1]], of_class[grid[order, 1:]]  # -1, before a text, is the last input
-        p = attention.train(attention.unpack(flat, attention.fresh(shape, class_counts)), inputs, targets, real[order], seed=seed)
+        inputs, targets, real = _windows_of(t.column("ids").to_pylist(), maps, shape)
+        p = attention.train(attention.unpack(flat, attention.fresh(shape, class_counts)), inputs, targets, real, seed=seed)
         v = attention.pack(p).astype(np.float64)
-        return pa.table({"i": np.arange(len(v)), "v": v * len(n), "n": np.full(len(v), len(n))})
+        return pa.table({"i": np.arange(len(v)), "v": v * len(real), "n": np.full(len(v), len(real))})
 
     return go
 
 
-def fit(windows: DataFrame, maps: tuple[np.ndarray, np.ndarray], class_counts: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
-    """Weights after ROUNDS rounds of training in parallel shards and averaging. As many weights as the shape has reach the driver, whatever the input."""
+def fit(pieces: DataFrame, maps: tuple[np.ndarray, np.ndarray], class_counts: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
+    """Weights after ROUNDS rounds of training on all windows of the pieces (k, c, ids), in parallel shards, and averaging. As many weights as the shape has reach the driver, whatever the input."""
     weights = attention.fresh(shape, class_counts)
-    n = windows.count()
+    n = pieces.agg(F.sum("c")).first()[0]
     if not n:
         return weights
     trainers = max(1, -(-n // TRAINER_WINDOWS), min(6, n // 2000))
-    dealt = windows.select("ids", F.pmod(F.xxhash64("ids"), F.lit(trainers)).cast("int").alias("trainer"))
+    dealt = pieces.select("ids", F.pmod(F.xxhash64("k", "ids"), F.lit(trainers)).cast("int").alias("trainer")).repartition(min(trainers, 1000), "trainer")
     for r in range(ROUNDS):
         flat = attention.pack(weights)
         trained = dealt.groupBy("trainer").applyInArrow(_trainer(flat, maps, class_counts, shape, r), "i long, v double, n long")
@@ -280,7 +284,7 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
     maps = maps_of(subs, shape)
     cls = maps[1]
     class_counts, class_sizes = np.bincount(cls, subs, shape.classes), np.bincount(cls, minlength=shape.classes)
-    weights = fit(got.where("kind = 2").select("ids"), maps, class_counts, shape)
+    weights = fit(got.where("kind = 2"), maps, class_counts, shape)
     inner = np.log((subs + 1) / (class_counts + class_sizes)[cls])
     sent = spark.sparkContext.broadcast((weights, maps, inner, *_frequent(counts)))
 

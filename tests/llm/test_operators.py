@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -456,6 +457,25 @@ def test_training_beats_the_unigram_on_held_out_text(spark):
     assert score(trained) > score(p) + 500
 
 
+def test_every_window_is_trained_on(spark):
+    """The pieces that gather() sends to training hold each window of each training text, long ones included, once."""
+    texts = [" ".join(f"word{i * j % 97}" for i in range(n)) for j, n in enumerate([1, 20, 33, 700, 9000], 1)]
+    path, shape = registry.tokenizer_path("byte_bpe_50k.tiktoken"), attention.Shape()
+    with open(path, "rb") as f:
+        ranks = f.read()
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    got = lm_scoring.gather(docs, spark.sparkContext.broadcast(ranks), shape).where("kind = 2").collect()
+    sub = lm_scoring.Subwords(ranks)
+    seq, ends = sub.stream(*sub.group(pa.array([*texts, None])))
+    text, begin, _ = attention.windows(np.diff(ends), shape)
+    padded = lambda t, lo: [sub.size if lo == 0 else int(seq[ends[t] + lo - 1]), *seq[ends[t] + lo : min(ends[t] + lo + shape.window, ends[t + 1])].tolist()]
+    want = sorted(padded(t, lo) for t, lo in zip(text, begin, strict=True))
+    inputs, targets, real = lm_scoring._windows_of([bytes(r["ids"]) for r in got], (np.arange(sub.size + 1), np.arange(sub.size)), shape)
+    assert sorted([int(i[0]), *t[r].tolist()] for i, t, r in zip(inputs, targets, real, strict=True)) == want
+    assert all((i[1:][r[1:]] == t[:-1][r[1:]]).all() for i, t, r in zip(inputs, targets, real, strict=True))
+    assert sum(r["c"] for r in got) == len(want)
+
+
 def test_gradients_are_right():
     shape = attention.Shape(classes=5, frequent=0, width=4, window=6, overlap=2)
     rng = np.random.default_rng(2)
