@@ -14,11 +14,11 @@ SHAPES = ("emb", "pos", "qkv", "out", "head", "bias")
 class Shape:
     """classes that are predicted, subwords that have an input vector of their own, width of the vectors, positions of a window and how many of them a next window sees again."""
 
-    classes: int = 64
+    classes: int = 128
     frequent: int = 2048
     width: int = 16
     window: int = 32
-    overlap: int = 4
+    overlap: int = 8
 
 
 def fresh(shape: Shape, class_counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:

@@ -523,6 +523,14 @@ def test_windows_score_each_token_once(sizes):
     assert all((x == 1).all() for x in seen)
 
 
+def test_the_model_has_its_full_size():
+    """128 classes and two rounds; each token scored in a later window sees at least 8 tokens before it."""
+    shape = attention.Shape()
+    assert shape.classes >= 128 and lm_scoring.ROUNDS >= 2
+    _, begin, score = attention.windows(np.array([33, 500, 2000]), shape)
+    assert (score - begin)[begin > 0].min() >= 8
+
+
 def test_words_are_the_contract_s(odd):
     import pyarrow as pa
 
