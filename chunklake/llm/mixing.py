@@ -21,6 +21,8 @@ SAMPLE_DOCS = 20_000
 FEATURES = 4096
 #: Likelihood ratio statistic below which a feature is taken as chance.
 TELLING = 24.0
+#: Posterior of all other domains together from which an unlabelled row isn't spared.
+CLEAR = 0.99
 #: Most steps of the fit, the step and the relative residual that ends it.
 STEPS, STEP, ENOUGH = 60, 1.5, 1e-6
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -99,7 +101,7 @@ def rates(members: DataFrame, weights: dict[str, float], growth: float = 1.0) ->
     """members with a rate for each row, fitted so that expected tokens of domain k are near weights[k] * growth * all tokens.
 
     weights are brought to sum 1; domains without one have weight 0. Rows without tokens keep rate 1 where their
-    posteriors are those of others. An empty table stays empty. The sums of a step (one number a domain) are all that reaches the driver.
+    posteriors are those of others. Where members have a column __least, no rate falls below it. An empty table stays empty. The sums of a step (one number a domain) are all that reaches the driver.
     """
     names = [c[2:] for c in members.columns if c.startswith("p_")]
     given = {d: weights.get(d, 0.0) for d in names}
@@ -110,7 +112,8 @@ def rates(members: DataFrame, weights: dict[str, float], growth: float = 1.0) ->
     start = members.agg(*tokens.values(), F.sum("n_tokens").alias("__all")).first()
     everything = float(start["__all"] or 0)
     if not everything:
-        return members.withColumn("rate", F.lit(1.0))
+        return members.withColumn("rate", F.lit(1.0)).drop("__least")
+    least = F.col("__least") if "__least" in members.columns else F.lit(0.0)
     share = {d: max(float(start[d]), 1e-12 * everything) for d in names}
     target = {d: given[d] / scale * growth * everything for d in names}
     rate: Column = F.lit(1.0)
@@ -119,29 +122,40 @@ def rates(members: DataFrame, weights: dict[str, float], growth: float = 1.0) ->
         off = {d: (now[d] - target[d]) / share[d] for d in names}
         if max(abs(now[d] - target[d]) for d in names) <= ENOUGH * everything:
             break
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{d}") * F.lit(STEP * off[d]) for d in names), F.lit(0.0)))
+        rate = F.greatest(least, rate - sum((F.col(f"p_{d}") * F.lit(STEP * off[d]) for d in names), F.lit(0.0)))
         if step % 10 == 0:  # keeps expressions short
             members = keep(members.withColumn("__r", rate), "mixing-rates")
             rate = F.col("__r")
         sums = members.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * rate).alias(d) for d in names]).first()
         now = {d: float(sums[d]) for d in names}
-    return members.withColumn("rate", F.round(rate, 6)).drop("__r")
+    return members.withColumn("rate", F.round(rate, 6)).drop("__r", "__least")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def floored(members: DataFrame, domains: DataFrame, spared: str) -> DataFrame:
+    """members with __least: 1 where the row is labelled as `spared`, or has no label and isn't clearly of other domains; else 0."""
+    other = F.lit(1.0) - F.col(f"p_{spared}") if f"p_{spared}" in members.columns else F.lit(0.0)
+    named = domains.select(F.col("doc_id").alias("__id"), F.col("domain").alias("__domain"))
+    spare = F.when(F.col("__domain").isNotNull(), F.col("__domain") == spared).otherwise(other < CLEAR)
+    return members.join(named, F.col("doc_id") == F.col("__id"), "left").withColumn("__least", spare.cast("double")).drop("__id", "__domain")
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, key: str = "doc_id", text: str = "text", spared: str | None = None) -> DataFrame:
     """doc, doc_id, n_tokens, p_<domain> and rate of every row of docs.
 
     A null text has no tokens. Repeated rows are rows of their own with equal rates. Without usable labels there is one domain, `all`.
-    Extra columns of docs are not read, so their names can't clash.
+    Extra columns of docs are not read, so their names can't clash. Rows of the domain `spared`, by label or else by
+    posterior, have a rate of 1 at least.
     """
     own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    members = keep(posteriors(own, classifier(own, domain_of(labels))), "mixing-members")
+    domains = domain_of(labels)
+    members = posteriors(own, classifier(own, domains))
+    members = keep(floored(members, domains, spared) if spared else members, "mixing-members")
     return rates(members, weights, growth)
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, key: str = "doc_id", text: str = "text", spared: str | None = None) -> DataFrame:
     """docs, with all their columns, each row as often as its rate says: the whole part, and once more where a hash of the id, as a number in [0, 1), lies below the rest."""
-    rated = mix(docs, labels, weights, growth, key, text).groupBy(F.col("doc").alias("__rated")).agg(F.max("rate").alias("__rate"))
+    rated = mix(docs, labels, weights, growth, key, text, spared).groupBy(F.col("doc").alias("__rated")).agg(F.max("rate").alias("__rate"))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     doc = F.xxhash64(F.col(f"`{key}`").alias("doc_id"), body.alias("body"))
     draw = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("draw")), F.lit(1 << 20)) / F.lit(float(1 << 20))

@@ -14,7 +14,7 @@ from chunklake.llm.registry import tokenizer_path
 
 #: Five-word shingles, similarity of 0.8 or more; 42 bands of 6 slots miss 3 in a million pairs at the threshold.
 NEAR = minhash_dedup.Setting(shingle=5, percent=80, bands=42)
-#: Target shares by domain; good documents end with a rate above 1, so that each of them stays.
+#: Target shares by domain. Documents labelled good, and unlabelled ones that aren't clearly of another domain, have a rate of 1 at least, so that each of them stays.
 WEIGHTS, GROWTH = {"good": 0.985, "poor": 0.005, "toxic": 0.01}, 1.15
 
 
@@ -35,7 +35,7 @@ def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are repeated or dropped by their rate, so that tokens of good, poor and toxic text come near WEIGHTS."""
-    return mixing.resample(docs, read(spark, sf_dir, "labels"), WEIGHTS, GROWTH)
+    return mixing.resample(docs, read(spark, sf_dir, "labels"), WEIGHTS, GROWTH, spared="good")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

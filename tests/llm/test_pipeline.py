@@ -1,6 +1,7 @@
 """The pipeline's stages, each held against brute force on its own input."""
 
 import corpus_pipeline as P
+from chunklake.llm import mixing
 from chunklake.llm.common import keep, read
 from tests.conftest import SF
 from tests.llm.test_operators import docs_of, near_brute, split, substring_brute
@@ -42,3 +43,22 @@ def test_stages(spark):
     want = sorted((i, library.encode(t, add_special_tokens=False).ids) for i, t in docs_of(mixed))
     assert sorted((r["doc_id"], r["ids"]) for r in ids.collect()) == want
     assert ids.count() == P.run(spark, SF).count()
+
+
+def test_every_clean_document_stays(spark):
+    """Labels hold against a posterior that says otherwise, and without a label only a clear posterior drops a document."""
+    good, bad = " ".join(f"fine{i}" for i in range(30)), " ".join(f"vile{i}" for i in range(30))
+    half = " ".join(f"vile{i}" for i in range(2)) + " plain"
+    texts = [f"{good} g{i}" for i in range(80)] + [f"{bad} b{i}" for i in range(80)] + [f"{bad} quoted", f"{bad} unlabelled", f"{good} unlabelled", half]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(80 <= i < 160)) for i in range(161)], "doc_id long, quality int, toxic int")
+    kept = {i for i, _ in docs_of(mixing.resample(docs, labels, P.WEIGHTS, P.GROWTH, spared="good"))}
+    assert kept >= {*range(80), 160, 162} and 161 not in kept and len(kept & set(range(80, 160))) < 80
+
+
+def test_every_clean_document_of_a_larger_table_stays(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = keep(P.quality(spark, read(spark, sf, "documents"), sf), "stage")
+    labels = {r["doc_id"]: r for r in read(spark, sf, "labels").collect()}
+    clean = {i for i, _ in docs_of(docs) if i in labels and labels[i]["quality"] == 1 and labels[i]["toxic"] == 0}
+    assert clean and clean <= {i for i, _ in docs_of(P.mix(spark, docs, sf))}
