@@ -228,13 +228,18 @@ def _trainer(flat: np.ndarray, maps: tuple[np.ndarray, np.ndarray], class_counts
     return go
 
 
+def trainers_of(n: int) -> int:
+    """Trainers of n windows, by one rule at every size."""
+    return max(1, -(-n // TRAINER_WINDOWS))
+
+
 def fit(pieces: DataFrame, maps: tuple[np.ndarray, np.ndarray], class_counts: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     """Weights after ROUNDS rounds of training on all windows of the pieces (k, c, ids), in parallel shards, and averaging. As many weights as the shape has reach the driver, whatever the input."""
     weights = attention.fresh(shape, class_counts)
     n = pieces.agg(F.sum("c")).first()[0]
     if not n:
         return weights
-    trainers = max(1, -(-n // TRAINER_WINDOWS), min(6, n // 2000))
+    trainers = trainers_of(n)
     dealt = pieces.select("ids", F.pmod(F.xxhash64("k", "ids"), F.lit(trainers)).cast("int").alias("trainer")).repartition(min(trainers, 1000), "trainer")
     for r in range(ROUNDS):
         flat = attention.pack(weights)

@@ -476,6 +476,17 @@ def test_every_window_is_trained_on(spark):
     assert sum(r["c"] for r in got) == len(want)
 
 
+def test_production_training_beats_the_untrained_model_on_held_out_text(spark, monkeypatch):
+    assert [lm_scoring.trainers_of(n) for n in (1, 4000, 12_000, 50_000, 50_001, 1_000_000)] == [1, 1, 1, 1, 2, 20] and lm_scoring.ROUNDS >= 2
+    docs, path = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), registry.tokenizer_path("byte_bpe_50k.tiktoken")
+    held = lambda: lm_scoring.score(docs, path).where("held_out").agg(F.sum("score")).first()[0]
+    trained = held()
+    monkeypatch.setattr(lm_scoring, "fit", lambda pieces, maps, class_counts, shape: attention.fresh(shape, class_counts))
+    untrained = held()
+    print("held out:", trained, untrained)
+    assert trained > 0.98 * untrained
+
+
 def test_gradients_are_right():
     shape = attention.Shape(classes=5, frequent=0, width=4, window=6, overlap=2)
     rng = np.random.default_rng(2)
