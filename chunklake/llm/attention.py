@@ -1,33 +1,41 @@
-"""A small causal self-attention model in numpy: one head, residual; inputs are subwords (rare ones by class), outputs classes of subwords."""
+"""A small causal self-attention model in numpy: one head, residual; inputs are subwords (rare ones by class), outputs a tree of two levels over classes of subwords."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from dataclasses import dataclass
 
 import numpy as np
 
-SHAPES = ("emb", "pos", "qkv", "out", "head", "bias")
+SHAPES = ("emb", "pos", "qkv", "out", "top", "leaf")
 
 
 @dataclass(frozen=True)
 class Shape:
-    """classes that are predicted, subwords that have an input vector of their own, width of the vectors, positions of a window and how many of them a next window sees again."""
+    """groups of classes and classes of a group (a class is predicted as its group, then its place in it), subwords that have an input vector of their own, width of the vectors, positions of a window and how many of them a next window sees again."""
 
-    classes: int = 128
+    groups: int = 16
+    leaves: int = 16
     frequent: int = 2048
     width: int = 16
     window: int = 32
     overlap: int = 8
 
+    @property
+    def classes(self) -> int:
+        return self.groups * self.leaves
+
 
 def fresh(shape: Shape, class_counts: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Untrained weights; the bias is the classes' own log probability, so that training starts from the unigram model."""
+    """Untrained weights; the last rows of `top` and `leaf` are the classes' own log probabilities, so that training starts from the unigram model."""
     rng = np.random.default_rng(seed)
-    k, d, w, inputs = shape.classes, shape.width, shape.window, shape.frequent + shape.classes + 1
-    p = (class_counts + 1) / (class_counts.sum() + len(class_counts))
+    d, w, inputs = shape.width, shape.window, shape.frequent + shape.classes + 1
+    n = (class_counts + 1.0).reshape(shape.groups, shape.leaves)
     draw = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
-    return {"emb": draw(inputs, d), "pos": draw(w, d) * 0.3, "qkv": draw(d, 3 * d), "out": draw(d, d) * 0.5, "head": draw(d, k) * 0.1, "bias": np.log(p).astype(np.float32)}
+    top, leaf = draw(d + 1, shape.groups) * np.float32(0.1), draw(shape.groups, d + 1, shape.leaves) * np.float32(0.1)
+    top[-1], leaf[:, -1] = np.log(n.sum(axis=1) / n.sum()), np.log(n / n.sum(axis=1, keepdims=True))
+    return {"emb": draw(inputs, d), "pos": draw(w, d) * np.float32(0.3), "qkv": draw(d, 3 * d), "out": draw(d, d) * np.float32(0.5), "top": top, "leaf": leaf}
 
 
 def pack(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -43,124 +51,162 @@ def unpack(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
 
 
 @functools.cache
-def _mask(w: int) -> np.ndarray:
-    return np.triu(np.full((w, w), -1e9, np.float32), 1)
+def _causal(w: int, kind: str) -> np.ndarray:
+    return np.tril(np.ones((w, w), kind))
+
+
+def keep_arrays_mapped() -> None:
+    """Asks glibc to serve arrays of up to 4 MB from its heap: by default those of 128 KB are mapped and unmapped at each step, and page faults cost a third of the time."""
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option:
+        set_option(-3, 4 << 20)
+        set_option(-1, 32 << 20)
 
 
-def _forward(p: dict[str, np.ndarray], inputs: np.ndarray):
+def _attended(p: dict[str, np.ndarray], inputs: np.ndarray):
+    """x, q, k, v, attention weights before and sums for their normalisation, the attended values c, and h (with a last column of ones), a row a position."""
     b, w = inputs.shape
     d = p["out"].shape[0]
-    x = p["emb"][inputs] + p["pos"]
-    qkv = (x.reshape(-1, d) @ p["qkv"]).reshape(b, w, 3, d)
-    q, k, v = (np.ascontiguousarray(qkv[:, :, i]) for i in range(3))
-    s = q @ k.transpose(0, 2, 1)
-    s *= d**-0.5
-    if s.max() > 60:
-        np.clip(s, None, 60, out=s)
-    s += _mask(w)
-    np.exp(s, out=s)
-    total = s @ np.ones((w, 1), s.dtype)
-    c = ((s @ v) / total).reshape(-1, d)
-    h = x.reshape(-1, d) + c @ p["out"]
-    logits = h @ p["head"] + p["bias"]
-    return x, q, k, v, s, total, c, h, logits
-
-
-class Scorer:
-    """ln P(target) at every position of windows; weights are prepared once, and sums run as matrix products."""
-
-    def __init__(self, p: dict[str, np.ndarray]):
-        d = p["out"].shape[0]
-        q, k, v = (p["qkv"][:, i * d : (i + 1) * d] for i in range(3))
-        self.emb, self.pos = p["emb"], p["pos"]
-        self.q, self.k, self.v = np.ascontiguousarray(q * np.float32(d**-0.5)), np.ascontiguousarray(k), np.ascontiguousarray(v @ p["out"])
-        self.head = np.concatenate([p["head"], p["bias"][None]])
-        self.mask = _mask(len(p["pos"]))
-        self.of_window, self.of_class = np.ones((len(p["pos"]), 1), np.float32), np.ones(p["head"].shape[1], np.float32)
-
-    def __call__(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        b, w = inputs.shape
-        x = self.emb[inputs]
-        x += self.pos
-        flat = x.reshape(b * w, -1)
-        q, k, v = ((flat @ m).reshape(b, w, -1) for m in (self.q, self.k, self.v))
-        s = q @ k.transpose(0, 2, 1)
-        s += self.mask
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        c = s @ v
-        c /= s @ self.of_window
-        h = np.ones((b * w, flat.shape[1] + 1), np.float32)
-        np.add(flat, c.reshape(b * w, -1), out=h[:, :-1])
-        logits = h @ self.head
-        pick = logits[np.arange(b * w), targets.ravel()]
-        top = max(0.0, float(logits.max()) - 60)
-        if top:
-            logits -= np.float32(top)
-        np.exp(logits, out=logits)
-        return (pick - top - np.log(logits @ self.of_class)).astype(np.float64).reshape(b, w)
+    x = p["emb"].take(inputs.ravel(), axis=0).reshape(b, w, d)
+    x += p["pos"]
+    x = x.reshape(b * w, d)
+    q, k, v = (x @ p["qkv"][:, i * d : (i + 1) * d] for i in range(3))
+    q *= q.dtype.type(d**-0.5)
+    q, k, v = (y.reshape(b, w, d) for y in (q, k, v))
+    a = q @ k.transpose(0, 2, 1)
+    np.minimum(a, 60, out=a)
+    np.exp(a, out=a)
+    a *= _causal(w, a.dtype.str)
+    total = a @ np.ones((w, 1), a.dtype)
+    c = a @ v
+    c /= total
+    c = c.reshape(b * w, d)
+    h = np.empty((b * w, d + 1), x.dtype)
+    h[:, -1] = 1
+    np.add(x, c @ p["out"], out=h[:, :-1])
+    return x, q, k, v, a, total, c, h
+
+
+def _exponentials(z: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """z becomes its exponentials; the picked entries (places in the flat z) as they were, and the sums by row, are returned."""
+    if len(z) and (z.max() > 60 or z.min() < -60):
+        z -= z.max(axis=1, keepdims=True)
+    one = z.ravel().take(picked)
+    np.exp(z, out=z)
+    return one, z @ np.ones((z.shape[1], 1), z.dtype)
+
+
+def _less_the_target(z: np.ndarray, picked: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """z becomes the gradient of its logits: softmax by row less 1 at the picked place, times the row's share."""
+    _, total = _exponentials(z, picked)
+    z *= share / total
+    z.ravel()[picked] -= share[:, 0]
+    return z
+
+
+def _spread(h: np.ndarray, leaf: np.ndarray, group: np.ndarray):
+    """Positions in the order of their target's group, the cuts between groups, their h, and the logits within the group."""
+    order = np.argsort(group, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(leaf)))]).tolist()
+    hs = h.take(order, axis=0)
+    z = np.empty((len(h), leaf.shape[2]), h.dtype)
+    for g, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if hi > lo:
+            np.matmul(hs[lo:hi], leaf[g], out=z[lo:hi])
+    return order, cuts, hs, z
 
 
 def log_probs(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    return Scorer(p)(inputs, targets)
-
-
-def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log probability over the real positions."""
+    """ln P(class) at every position of windows: of its group, and of its place in the group."""
+    groups, _, leaves = p["leaf"].shape
+    h = _attended(p, inputs)[-1]
+    at, target = np.arange(inputs.size), targets.ravel()
+    group = (target // leaves).astype(np.uint8)
+    one, total = _exponentials(h @ p["top"], at * groups + group)
+    out = (one - np.log(total[:, 0])).astype(np.float64)
+    order, _, _, z = _spread(h, p["leaf"], group)
+    one, total = _exponentials(z, at * leaves + target.take(order) % leaves)
+    out[order] += one - np.log(total[:, 0])
+    return out.reshape(inputs.shape)
+
+
+def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, out: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Of the mean negative log probability over the real positions; written into `out`, if given."""
     b, w = inputs.shape
+    groups, _, leaves = p["leaf"].shape
     d, n = p["out"].shape[0], max(1, int(real.sum()))
-    x, q, k, v, a, total, c, h, logits = _forward(p, inputs)
-    a /= total
-    if logits.max() > 60 or logits.min() < -60:
-        logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    share = (real.ravel() / n).astype(logits.dtype)
-    logits *= (share / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
-    logits[np.arange(len(logits)), targets.ravel()] -= share
-    dh = logits @ p["head"].T
+    g = {k: np.empty_like(v) for k, v in p.items()} if out is None else out
+    x, q, k, v, a, total, c, h = _attended(p, inputs)
+    at, target = np.arange(b * w), targets.ravel()
+    group = (target // leaves).astype(np.uint8)
+    share = (real.ravel() / n).astype(h.dtype)[:, None]
+    z = _less_the_target(h @ p["top"], at * groups + group, share)
+    np.matmul(h.T, z, out=g["top"])
+    dh = z @ p["top"][:-1].T
+    order, cuts, hs, z = _spread(h, p["leaf"], group)
+    _less_the_target(z, at * leaves + target.take(order) % leaves, share.take(order, axis=0))
+    dhs = np.empty_like(dh)
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        np.matmul(hs[lo:hi].T, z[lo:hi], out=g["leaf"][i])
+        if hi > lo:
+            np.matmul(z[lo:hi], p["leaf"][i, :-1].T, out=dhs[lo:hi])
+    back = np.empty_like(order)
+    back[order] = at
+    dh += dhs.take(back, axis=0)
+    np.matmul(c.T, dh, out=g["out"])
     dc = dh @ p["out"].T
     along = (dc * c) @ np.ones((d, 1), dc.dtype)  # the sum over each row of da * a
     dc = dc.reshape(b, w, d)
+    dc /= total  # so that a needn't be normalised
     ds = dc @ v.transpose(0, 2, 1)
-    ds -= along.reshape(b, w, 1)
+    ds -= along.reshape(b, w, 1) / total
     ds *= a
-    ds *= np.float32(d**-0.5)
-    dqkv = np.empty((b, w, 3, d), dh.dtype)
-    dqkv[:, :, 0], dqkv[:, :, 1], dqkv[:, :, 2] = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
-    dqkv = dqkv.reshape(-1, 3 * d)
-    dx = dh + dqkv @ p["qkv"].T
-    demb, at = np.zeros_like(p["emb"]), inputs.ravel()
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    demb[at[first]] = np.add.reduceat(dx[order], first, axis=0)
-    return {"emb": demb, "pos": dx.reshape(b, w, d).sum(0), "qkv": x.reshape(-1, d).T @ dqkv, "out": c.T @ dh, "head": h.T @ logits, "bias": np.ones(len(logits), logits.dtype) @ logits}
-
-
-def train(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int, rate: float = 1e-2, batch: int = 32, epochs: int = 1) -> dict[str, np.ndarray]:
-    """Adam over the windows, `epochs` times, in an order drawn from seed."""
-    flat, at = pack(p), 0
-    like, p = p, {}
-    for n in SHAPES:  # views: one step moves them all
-        p[n] = flat[at : at + like[n].size].reshape(like[n].shape)
+    dqkv = np.empty((b * w, 3 * d), dh.dtype)
+    for i, y in enumerate((ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc)):
+        dqkv[:, i * d : (i + 1) * d] = y.reshape(b * w, d)
+    dqkv[:, :d] *= dqkv.dtype.type(d**-0.5)
+    np.matmul(x.T, dqkv, out=g["qkv"])
+    dh += dqkv @ p["qkv"].T
+    np.sum(dh.reshape(b, w, d), axis=0, out=g["pos"])
+    ids = inputs.ravel()
+    ids = ids.astype(np.uint16) if len(p["emb"]) <= 0xFFFF else ids  # sorts faster
+    order = np.argsort(ids, kind="stable")
+    ids = ids.take(order)
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    g["emb"].fill(0)
+    g["emb"][ids[first]] = np.add.reduceat(dh.take(order, axis=0), first, axis=0)
+    return g
+
+
+def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for n in SHAPES:
+        out[n] = flat[at : at + like[n].size].reshape(like[n].shape)
         at += like[n].size
-    m, s, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
-    rng, t = np.random.default_rng(seed), 0
-    for _ in range(epochs):
-        order = rng.permutation(len(inputs))
-        for lo in range(0, len(order), batch):
-            at, t = order[lo : lo + batch], t + 1
-            g = pack(gradients(p, inputs[at], targets[at], real[at]))
-            m *= np.float32(0.9)
-            m += np.multiply(g, np.float32(0.1), out=step)
-            s *= np.float32(0.999)
-            g *= g
-            s += np.multiply(g, np.float32(0.001), out=step)
-            np.sqrt(np.multiply(s, np.float32(1 / (1 - 0.999**t)), out=step), out=step)
-            step += np.float32(1e-8)
-            np.divide(m, step, out=step)
-            step *= np.float32(rate / (1 - 0.9**t))
-            flat -= step
+    return out
+
+
+def train(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int, rate: float = 2e-2, batch: int = 128) -> dict[str, np.ndarray]:
+    """Adam over the windows, each once, in an order drawn from seed; the step falls to a fifth by the end."""
+    keep_arrays_mapped()
+    flat = pack(p)
+    p = _views(flat, p)  # one step moves them all
+    g, m, s, step = (np.zeros_like(flat) for _ in range(4))
+    grads = _views(g, p)
+    order = np.random.default_rng(seed).permutation(len(inputs))
+    for t, lo in enumerate(range(0, len(order), batch), 1):
+        at = order[lo : lo + batch]
+        gradients(p, inputs[at], targets[at], real[at], grads)
+        m *= np.float32(0.9)
+        m += np.multiply(g, np.float32(0.1), out=step)
+        s *= np.float32(0.99)
+        g *= g
+        s += np.multiply(g, np.float32(0.01), out=step)
+        np.sqrt(s, out=step)
+        step += np.float32(1e-8)
+        np.divide(m, step, out=step)
+        step *= np.float32(rate * (1 - 0.8 * lo / len(order)) * (1 - 0.99**t) ** 0.5 / (1 - 0.9**t))
+        flat -= step
     return p
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; longer single texts are a step of their own.
 CHUNK_BYTES = 1 << 20
+#: Rows of a kept table's file, where their number is known.
+ROWS_PER_FILE = 100_000
+#: Folders that keep() has written and nothing has deleted.
+_kept: list[str] = []
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -25,19 +30,53 @@ _M2 = np.uint64(0x94D049BB133111EB)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all runs on this machine; on a cluster that would lose rows, and is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='chunklake-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder, in folders `by` columns, and reads it back: lineage is cut, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def keep(df: DataFrame, name: str, *by: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder, in folders `by` columns, and reads it back: lineage is cut, and lost executors lose nothing.
+
+    `rows`, if given, is at least the number of rows: no more files are then written than they need, or than there are cores.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
+    out = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    (out.partitionBy(*by) if by else out).parquet(path)
+    kept = spark.read.schema(schema).parquet(path)
+    kept._kept = path
+    _kept.append(path)
+    return kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _kept.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of keep(), once nothing reads them any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._kept)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at the end what keep() wrote meanwhile, but for the tables put into the list it gives."""
+    before, spared = set(_kept), []
+    yield spared
+    for path in [p for p in _kept if p not in before and p not in {t._kept for t in spared}]:
+        _delete(spark, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -440,10 +440,10 @@ def test_rare_words_take_the_join(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == sorted(base_brute(docs_of(docs)))
 
 
-def test_training_beats_the_unigram_on_held_out_text(spark):
-    """The same text scored by the untrained weights, which are a class unigram, and by the trained ones."""
+def test_training_beats_the_unigram_on_held_out_text():
+    """The same sequence scored by the untrained weights, which are a class unigram, and by the trained ones."""
     rng = np.random.default_rng(0)
-    shape = attention.Shape(classes=8, frequent=0, window=16, overlap=4)
+    shape = attention.Shape(groups=2, leaves=4, frequent=0, window=16, overlap=4)
     seq = np.zeros(8000, np.int64)
     for i in range(1, len(seq)):
         seq[i] = (seq[i - 1] * 3 + 1) % 8 if rng.random() < 0.8 else rng.integers(0, 8)
@@ -451,56 +451,98 @@ def test_training_beats_the_unigram_on_held_out_text(spark):
     maps = np.append(np.arange(8), 8), np.arange(8)
     text, inputs, targets, real = lm_scoring._laid(seq, ends, shape, maps)
     p = attention.fresh(shape, np.bincount(seq, minlength=8))
-    own = text == 0
-    trained = attention.train(p, inputs[own], targets[own], real[own], seed=1, epochs=4)
+    own, trained = text == 0, p
+    for seed in range(4):
+        trained = attention.train(trained, inputs[own], targets[own], real[own], seed=seed, batch=16)
     score = lambda w: (attention.log_probs(w, inputs[~own], targets[~own]) * real[~own]).sum()
     assert score(trained) > score(p) + 500
 
 
-def test_every_window_is_trained_on(spark):
-    """The pieces that gather() sends to training hold each window of each training text, long ones included, once."""
-    texts = [" ".join(f"word{i * j % 97}" for i in range(n)) for j, n in enumerate([1, 20, 33, 700, 9000], 1)]
-    path, shape = registry.tokenizer_path("byte_bpe_50k.tiktoken"), attention.Shape()
+def gathered(spark, texts, shape):
+    path = registry.tokenizer_path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
         ranks = f.read()
-    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
-    got = lm_scoring.gather(docs, spark.sparkContext.broadcast(ranks), shape).where("kind = 2").collect()
+    docs = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").withColumn("text", F.col("text").cast("binary"))
     sub = lm_scoring.Subwords(ranks)
-    seq, ends = sub.stream(*sub.group(pa.array([*texts, None])))
-    text, begin, _ = attention.windows(np.diff(ends), shape)
-    padded = lambda t, lo: [sub.size if lo == 0 else int(seq[ends[t] + lo - 1]), *seq[ends[t] + lo : min(ends[t] + lo + shape.window, ends[t + 1])].tolist()]
-    want = sorted(padded(t, lo) for t, lo in zip(text, begin, strict=True))
-    inputs, targets, real = lm_scoring._windows_of([bytes(r["ids"]) for r in got], (np.arange(sub.size + 1), np.arange(sub.size)), shape)
-    assert sorted([int(i[0]), *t[r].tolist()] for i, t, r in zip(inputs, targets, real, strict=True)) == want
+    return lm_scoring.gather(docs, spark.sparkContext.broadcast(ranks), shape), sub, *sub.stream(*sub.group(pa.array(texts)))
+
+
+def test_every_token_is_trained_on_once(spark):
+    """The pieces that training gets hold each token of each training text, long ones included, as a target once, with its own predecessor."""
+    texts, shape = [*[" ".join(f"word{i * j % 97}" for i in range(n)) for j, n in enumerate([1, 20, 33, 700, 9000], 1)], None], attention.Shape()
+    got, sub, seq, ends, _ = gathered(spark, texts, shape)
+    got = got.where("kind = 2")
+    kind = lm_scoring._kind_of_ids(sub.size)
+    assert {r["k"]: np.frombuffer(r["ids"], kind).tolist() for r in got.collect()} == {i: seq[lo:hi].tolist() for i, (lo, hi) in enumerate(itertools.pairwise(ends.tolist()))}
+    pieces = [bytes(r["ids"]) for r in lm_scoring._cut(got, sub.size, shape).collect()]
+    inputs, targets, real = lm_scoring._windows_of(pieces, (np.arange(sub.size + 1), np.arange(sub.size)), shape)
+    want = collections.Counter()
+    for lo, hi in itertools.pairwise(ends.tolist()):
+        want.update(zip([sub.size, *seq[lo : hi - 1].tolist()], seq[lo:hi].tolist(), strict=True))
+    assert collections.Counter(zip(inputs[real].tolist(), targets[real].tolist(), strict=True)) == want
     assert all((i[1:][r[1:]] == t[:-1][r[1:]]).all() for i, t, r in zip(inputs, targets, real, strict=True))
-    assert sum(r["c"] for r in got) == len(want)
+    assert got.agg(F.sum("c")).first()[0] == sum(-(-n // shape.window) for n in np.diff(ends)) >= len(inputs)
+
+
+def test_ids_tell_words_apart(spark):
+    """Counts by the key of a word's ids are counts of words, and odd bytes keep words apart as well."""
+    texts = ["a b a c\u00a0d a\u2003b \x1c \x85 ab a'b a's 's", "A B <|endoftext|> <|endof text|>", "\u00e9 e\u0301 " + "x" * 3000, ""]
+    got, sub, seq, _, starts = gathered(spark, texts, attention.Shape())
+    counts = sorted(r["c"] for r in got.where("kind = 0").groupBy("k").agg(F.sum("c").alias("c")).collect())
+    assert counts == sorted(collections.Counter(w for t in texts for w in [*split(t.translate(LOW)), None]).values())
+    odd = [b"\xff", b"\xfe", b"\xff\xfe", "\ufffd".encode(), b"a\xff"]
+    ids, sizes = sub._encoded(odd)
+    assert len(set(lm_scoring.word_keys(ids, np.cumsum(sizes) - sizes).tolist())) == len(odd)
+
+
+def subword_unigram(docs, shape):
+    """log10 probability of all held-out texts by add-one counts of subwords in the training texts, which is a distribution."""
+    with open(registry.tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
+        sub = lm_scoring.Subwords(f.read())
+    train, held = ([t for i, t in docs if (zlib.crc32(str(i).encode()) % 7 == 2) == h] for h in (False, True))
+    counts = np.bincount(sub.stream(*sub.group(pa.array(train)))[0], minlength=sub.size)
+    seq = sub.stream(*sub.group(pa.array(held)))[0]
+    return float(np.log10((counts[seq] + 1) / (counts.sum() + sub.size)).sum())
+
+
+def test_scores_of_held_out_documents_beat_a_subword_unigram(spark):
+    """Real held-out documents, by the model as built. Untrained, it is the unigram but for the smoothing."""
+    assert [lm_scoring.trainers_of(n) for n in (1, 4000, 400_000, 400_001, 4_000_000)] == [1, 1, 1, 2, 10] and lm_scoring.ROUNDS >= 2
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = lm_scoring.score(docs, registry.tokenizer_path("byte_bpe_50k.tiktoken")).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    unigram = subword_unigram(docs_of(docs), attention.Shape())
+    print("held out:", got[0], "subword unigram:", unigram, "words:", got[1])
+    assert got[0] > 0.85 * unigram
+
+
+def test_the_untrained_model_is_the_subword_unigram(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "fit", lambda texts, maps, class_counts, shape: attention.fresh(shape, class_counts))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = lm_scoring.score(docs, registry.tokenizer_path("byte_bpe_50k.tiktoken")).where("held_out").agg(F.sum("score")).first()[0]
+    assert abs(got / subword_unigram(docs_of(docs), attention.Shape()) - 1) < 0.06  # its random weights and the smoothing of classes cost a little
 
 
-def test_production_training_beats_the_untrained_model_on_held_out_text(spark, monkeypatch):
-    assert [lm_scoring.trainers_of(n) for n in (1, 4000, 12_000, 50_000, 50_001, 1_000_000)] == [1, 1, 1, 1, 2, 20] and lm_scoring.ROUNDS >= 2
-    docs, path = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), registry.tokenizer_path("byte_bpe_50k.tiktoken")
-    held = lambda: lm_scoring.score(docs, path).where("held_out").agg(F.sum("score")).first()[0]
-    trained = held()
-    monkeypatch.setattr(lm_scoring, "fit", lambda pieces, maps, class_counts, shape: attention.fresh(shape, class_counts))
-    untrained = held()
-    print("held out:", trained, untrained)
-    assert trained > 0.98 * untrained
+@pytest.mark.parametrize("counts", [[5, 1, 0, 9, 9, 2, 0, 0], [0] * 8, [1] * 300, [1000, *[1] * 999], [7]])
+def test_classes_are_filled(counts):
+    counts = np.array(counts)
+    cls = lm_scoring.classes_of(counts, 4)
+    assert cls.min() >= 0 and cls.max() <= 3 and (np.diff(cls[np.argsort(-counts, kind="stable")]) >= 0).all()
+    if (counts > 0).sum() >= 4:
+        assert set(cls.tolist()) == {0, 1, 2, 3}
 
 
 def test_gradients_are_right():
-    shape = attention.Shape(classes=5, frequent=0, width=4, window=6, overlap=2)
+    shape = attention.Shape(groups=2, leaves=3, frequent=0, width=4, window=6, overlap=2)
     rng = np.random.default_rng(2)
-    p = {n: v.astype(np.float64) for n, v in attention.fresh(shape, np.ones(5)).items()}
-    inputs, targets, real = rng.integers(0, 6, (3, 6)), rng.integers(0, 5, (3, 6)), rng.random((3, 6)) < 0.8
+    p = {n: v.astype(np.float64) for n, v in attention.fresh(shape, np.ones(6)).items()}
+    inputs, targets, real = rng.integers(0, 7, (3, 6)), rng.integers(0, 6, (3, 6)), rng.random((3, 6)) < 0.8
 
     def loss():
-        logits = attention._forward(p, inputs)[-1]
-        z = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return -(z[np.arange(len(z)), targets.ravel()] * real.ravel()).sum() / real.sum()
+        return -(attention.log_probs(p, inputs, targets) * real).sum() / real.sum()
 
     g = attention.gradients(p, inputs, targets, real)
     for n in attention.SHAPES:
-        for _ in range(4):
+        for _ in range(6):
             at = tuple(int(rng.integers(0, s)) for s in p[n].shape)
             keep, h = p[n][at], 1e-4
             p[n][at] = keep + h
@@ -508,11 +550,11 @@ def test_gradients_are_right():
             p[n][at] = keep - h
             down = loss()
             p[n][at] = keep
-            assert abs((up - down) / (2 * h) - g[n][at]) < 1e-3
+            assert abs((up - down) / (2 * h) - g[n][at]) < 1e-6
 
 
 def test_attention_is_causal_and_normalised():
-    shape = attention.Shape(classes=6, frequent=0, window=8, overlap=2)
+    shape = attention.Shape(groups=3, leaves=2, frequent=0, window=8, overlap=2)
     p = attention.fresh(shape, np.arange(6))
     rng = np.random.default_rng(7)
     a = rng.integers(0, 7, (1, 8))
@@ -522,6 +564,8 @@ def test_attention_is_causal_and_normalised():
     assert np.allclose(np.exp(every).sum(axis=0), 1, atol=1e-5)
     t = np.zeros((1, 8), np.int64)
     assert np.allclose(attention.log_probs(p, a, t)[0, :5], attention.log_probs(p, b, t)[0, :5], atol=1e-6)
+    big = {n: v * 1000 for n, v in p.items()}
+    assert np.isfinite(attention.log_probs(big, a, t)).all()
 
 
 @pytest.mark.parametrize("sizes", [[1], [32, 33, 28, 56, 57, 500], [1, 1, 2000]])
@@ -535,7 +579,7 @@ def test_windows_score_each_token_once(sizes):
 
 
 def test_the_model_has_its_full_size():
-    """128 classes and two rounds; each token scored in a later window sees at least 8 tokens before it."""
+    """128 classes or more and two rounds; each token scored in a later window sees at least 8 tokens before it."""
     shape = attention.Shape()
     assert shape.classes >= 128 and lm_scoring.ROUNDS >= 2
     _, begin, score = attention.windows(np.array([33, 500, 2000]), shape)
