@@ -183,6 +183,14 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't got."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
