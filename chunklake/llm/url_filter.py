@@ -1,8 +1,8 @@
 """URL filters as a sort-merge range join on reversed-host keys, with DataFrame functions only.
 
 A rule (host, path prefix) has the key `reversed host` + U+0001 + path, which makes the URLs that it
-fits on one host level an interval of keys. Each URL is a point on every level of its host. In
-each lane, rules and points are sorted together, and the last rule passed carries the stack of
+fits on one host level an interval of keys. Each URL is a point on every level of its host that a rule's
+host can have: levels of more labels than the longest host of a rule fit none. In each lane, rules and points are sorted together, and the last rule passed carries the stack of
 nested rules around it; the innermost one that holds the point is the level's rule.
 """
 
@@ -30,6 +30,11 @@ def reverse_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.")), ".")
 
 
+def most_labels(rules: DataFrame) -> int:
+    """Labels of the longest host of a rule."""
+    return rules.where("host is not null and path is not null").agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first()["n"] or 0
+
+
 def rule_stacks(rules: DataFrame) -> DataFrame:
     """For each distinct rule (host, path, verdict): its key, and its stack: itself and all rules around it, innermost first.
 
@@ -50,14 +55,15 @@ def judge(pages: DataFrame, rules: DataFrame, lanes: int, default: str = "allow"
     The longest rule (host and path, in characters) that fits wins, ties going to the longer host; without
     one, rule is null and the verdict is `default`. Repeated rows are counted before the sort and come
     back as often as they were. Points are dealt over lanes by a hash of id and URL, and the rules go
-    to every lane, so a hot host or URL is spread like any other. A null URL has empty host and
-    path. Extra columns are not read. Rules with a null host or path are ignored.
+    to every lane, so a hot host or URL is spread like any other; rules are a list that each lane can hold. A null URL has
+    empty host and path, and a host of any number of labels is read up to those that a rule can have. Extra columns are not
+    read. Rules with a null host or path are ignored; without rules, all get the default.
     """
     rows = pages.select(F.col(f"`{key}`").alias("page_id"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     rows = rows.groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
     lane = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(lanes)).cast("int")
-    labels = F.split("host", r"\.")
-    levels = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(F.reverse(labels), F.lit(1), n), "."))
+    labels = F.reverse(F.split(F.substring_index("host", ".", -max(1, most_labels(rules))), r"\."))
+    levels = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
     marks = rule_stacks(rules).select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "key", "stack")
     empty = F.lit(None).cast(marks.schema["stack"].dataType)
     points = rows.select(lane.alias("lane"), F.struct("page_id", "host", "path", "copies").alias("row"), F.explode(levels).alias("level"))
