@@ -2,8 +2,8 @@
 
 Each rule rejects documents by a few integer measures of the text. On a bounded sample, each rule's
 cost (time of the measures that it needs) and selectivity (share of rows rejected) are estimated;
-rules then run in descending order of rejections per unit of cost, each on the rows that are left.
-A document is kept if no rule rejects it, so the order changes the work and never the verdict.
+rules then run in descending order of rejections per unit of cost, each on the rows that are left, whose measures
+so far are kept. A document is kept if no rule rejects it, so the order changes the work and never the verdict.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .common import chunks, coded, inside, plain, sequence_hash, word_hashes
 SYMBOLS = b"#*$%&|<>"
 #: Words of the window whose repetition counts.
 REPEAT_WINDOW = 8
-#: Rows of the sample that orders the rules.
-SAMPLE_ROWS = 512
+#: Rows of the sample that orders the rules, and the longest text in it: the sample is the bound of what reaches the driver. It orders the work and decides nothing.
+SAMPLE_ROWS, SAMPLE_BYTES = 512, 1 << 16
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9, 10, 11, 12, 13]] = 1
@@ -34,31 +34,57 @@ _KIND[ord("A") : ord("Z") + 1] = 8
 _KIND[ord("a") : ord("z") + 1] = 16
 
 
+#: Measures with one number a text.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+OTHERS = ("n_upper", "n_lower", "n_same_next", "n_lines")
+
+
 class Measures:
     """Measures of some texts, each worked out when first asked for."""
 
     def __init__(self, texts: list[bytes], column: pa.Array | None = None):
-        self.texts, self._column, self._known = texts, pa.array(texts, pa.large_binary()) if column is None else column, {}
+        self.texts, self._column, self._known = texts, column, {}
+
+    def take(self, rows: np.ndarray) -> Measures:
+        """The same of some of the texts; what is known of them stays known."""
+        out = Measures([self.texts[i] for i in rows])
+        out._known = {k: v[rows] for k, v in self._known.items() if k in COUNTS + OTHERS}
+        if "ends" in self._known:
+            ends = self._known["ends"]
+            n = np.diff(ends)[rows]
+            out._known |= {"words": self._known["words"], "ends": np.concatenate([[0], np.cumsum(n)])}
+            at = np.repeat(ends[:-1][rows] - out._known["ends"][:-1], n) + np.arange(n.sum())
+            out._known |= {k: self._known[k][at] for k in ("codes", "hashes") if k in self._known}
+        return out
 
     def __getitem__(self, name: str) -> np.ndarray:
         if name not in self._known:
             getattr(self, f"_{name}")()
         return self._known[name]
 
-    def _bytes(self) -> None:
-        data = np.frombuffer(b"".join(self.texts), np.uint8)
+    def _per_text(self, kinds: dict[str, Callable[[np.ndarray], np.ndarray]]) -> None:
+        """Bytes of a kind in each text."""
+        kind = _KIND[np.frombuffer(b"".join(self.texts), np.uint8)]
         ends = np.concatenate([[0], np.cumsum([len(t) for t in self.texts])]).astype(np.int64)
-        kind = _KIND[data]
-        per = lambda mask: (c := np.concatenate([[0], np.cumsum(mask)]))[ends[1:]] - c[ends[:-1]]
-        self._known |= {"word_chars": per((kind & 5) == 0), "n_symbols": per(kind == 2), "n_upper": per(kind == 8), "n_lower": per(kind == 16)}
+        for name, test in kinds.items():
+            c = np.concatenate([[0], np.cumsum(test(kind))])
+            self._known[name] = c[ends[1:]] - c[ends[:-1]]
+
+    def _word_chars(self) -> None:
+        self._per_text({"word_chars": lambda kind: (kind & 5) == 0, "n_symbols": lambda kind: kind == 2})
 
-    _word_chars = _n_symbols = _n_upper = _n_lower = _bytes
+    _n_symbols = _word_chars
+
+    def _n_upper(self) -> None:
+        self._per_text({"n_upper": lambda kind: kind == 8, "n_lower": lambda kind: kind == 16})
+
+    _n_lower = _n_upper
 
     def _ends(self) -> None:
         _ = self["n_words"]
 
     def _split(self) -> None:
-        words, codes, ends = coded(self._column)
+        words, codes, ends = coded(pa.array(self.texts, pa.large_binary()) if self._column is None else self._column)
         self._known |= {"words": words, "codes": codes, "ends": ends, "n_words": np.diff(ends)}
 
     _n_words = _split
@@ -125,22 +151,18 @@ EXTRA = [
     Rule("word_length", ("n_words", "word_chars"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
 ]
 RULES = BASE + EXTRA
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def estimate(docs: DataFrame, rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[tuple[str, float, int]]:
-    """(rule, seconds, rows rejected) on at most `rows` rows, measured on an executor; a handful of rows reach the driver."""
-
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
-            for r in rules:
-                began = time.perf_counter()
-                lost = int(np.sum(r.rejects(Measures(texts))))
-                yield pa.RecordBatch.from_pydict({"rule": [r.name], "s": [time.perf_counter() - began], "lost": [lost]})
-
-    sample = docs.select(F.col("`text`").cast("binary").alias("text")).limit(rows)
-    found = sample.mapInArrow(profile, "rule string, s double, lost long").groupBy("rule").agg(F.sum("s"), F.sum("lost")).collect()
-    return [tuple(r) for r in found]
+    """(rule, seconds, rows rejected) on at most `rows` texts of up to SAMPLE_BYTES. The first partitions that hold them are read, not all; only these texts reach the driver."""
+    text = F.col("`text`").cast("binary")
+    texts = [bytes(r[0] or b"") for r in docs.select(text).where(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES).take(rows)]
+    out = []
+    for r in rules if texts else []:
+        began = time.perf_counter()
+        lost = int(np.sum(r.rejects(Measures(texts))))
+        out.append((r.name, time.perf_counter() - began, lost))
+    return out
 
 
 def ordered(docs: DataFrame, rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -149,21 +171,26 @@ def ordered(docs: DataFrame, rules: list[Rule] = RULES, rows: int = SAMPLE_ROWS)
     return sorted(rules, key=lambda r: -gain.get(r.name, 0))
 
 
-def verdicts(texts: list[bytes], rules: list[Rule]) -> tuple[np.ndarray, list[str | None]]:
-    """kept, and the first rule of the cascade that rejected each text."""
-    left, by = np.arange(len(texts)), [None] * len(texts)
+def cascade(m: Measures, rules: list[Rule]) -> tuple[np.ndarray, list[str | None]]:
+    """kept, and the first rule that rejected each text: every rule sees only what the ones before left."""
+    left, by = np.arange(len(m.texts)), [None] * len(m.texts)
     for r in rules:
         if not len(left):
             break
-        bad = r.rejects(Measures([texts[i] for i in left]))
-        for i in left[bad]:
-            by[i] = r.name
-        left = left[~bad]
-    kept = np.zeros(len(texts), bool)
+        bad = r.rejects(m)
+        if bad.any():
+            for i in left[bad]:
+                by[i] = r.name
+            left, m = left[~bad], m.take(np.flatnonzero(~bad))
+    kept = np.zeros(len(by), bool)
     kept[left] = True
     return kept, by
 
 
+def verdicts(texts: list[bytes], rules: list[Rule]) -> tuple[np.ndarray, list[str | None]]:
+    return cascade(Measures(texts), rules)
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """One row per row of docs: key, the five counts, base_failed and kept.
 
@@ -175,14 +202,11 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            m = Measures(texts, part.column(1))  # every count is part of this result, so the rules share them
-            left = np.ones(len(texts), bool)
-            for r in rules:
-                if not left.any():
-                    break
-                left &= ~r.rejects(m)
+            m = Measures(texts, part.column(1))
+            counts = [pa.array(m[c], pa.int64()) for c in COUNTS]  # part of the result for every row; all other measures are made of the rows left
             failed = BASE[0].rejects(m) | BASE[1].rejects(m)
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(m[c], pa.int64()) for c in COUNTS], pa.array(failed), pa.array(left & ~failed)], names=["doc_id", *COUNTS, "base_failed", "kept"])
+            kept, _ = cascade(m, rules)
+            yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(failed), pa.array(kept & ~failed)], names=["doc_id", *COUNTS, "base_failed", "kept"])
 
     return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean")
 
@@ -193,7 +217,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches, text):
-            kept, _ = verdicts(texts, rules)
+            kept, _ = cascade(Measures(texts), rules)
             yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
