@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import forget, keep
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(id, component) of every id that a link names; component is the least id reachable.
 
     Union-find as table steps: in turn, every id hangs its larger neighbours, then its smaller ones, under the least
     id near it, until no link changes. Each step is a grouping and a join; links stay distributed, and
-    only two numbers a step reach the driver. Null ends and links of an id to itself are ignored.
+    only two numbers a step reach the driver. Null ends and links of an id to itself are ignored. `rows`, if given, is at
+    least the number of links; no step has more than there were at first.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = keep(edges, "edges")
-    seen = None
+    edges = keep(edges, "edges", rows=rows)
+    seen, n = None, rows
     while True:
+        before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         edges = both.join(least, "u").where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u")
         edges = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = keep(edges, "edges")
+        edges = keep(edges, "edges", rows=n)
+        forget(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -8,8 +8,9 @@ any, so they are left out. All sets of a chunk take step j together.
 Documents with equal shingle sets form a class. Classes that agree in a band are candidates. Each
 class is first verified against the one it shares most bands with. In bands that still hold several
 components after that, all pairs across components are compared: in bands of up to HOT rows on compact
-sketches, the pairs that may reach the threshold then being verified on full sets; in larger bands block by
-block on full sets at once, so that only links leave a block, never the pairs of a large group.
+sketches, the pairs that may reach the threshold then being verified on full sets; in larger bands on full sets at once,
+block by block, the classes outside the band's largest component against all: so a stray in a large group meets each
+member once, no task holds the group, and only links leave a block, never the pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, coded, keep, mix, signed, word_hashes
+from .common import chunks, coded, forget, keep, mix, signed, unused, word_hashes
 from .components import components
 
 SLOTS, BANDS = 256, 32
@@ -184,7 +185,7 @@ def _near(percent: int, slots: int):
     def go(t: pa.Table) -> pa.Table:
         a, b = [], []
         x = np.stack(_bytes(t, "sketch", np.uint8))
-        marks = np.stack(_bytes(t, "marks", np.uint32))
+        marks = np.stack(_bytes(t, "marks", np.uint64))
         ids, comp, size, band = (t.column(c).to_numpy() for c in ("id", "comp", "n", "at"))
         for i in range(t.num_rows):
             may = np.flatnonzero((comp > comp[i]) & (100 * np.minimum(size[i], size) >= percent * np.maximum(size[i], size)))
@@ -198,15 +199,15 @@ def _near(percent: int, slots: int):
 
 
 def _linked(percent: int):
-    """Links between two blocks of a band, across components, on full sets: at most one for each row and other component."""
+    """Links between a block of rows outside a band's largest component (left) and a block of all its rows (right), across components, on full sets: at most one for each row and other component. Of two rows that both are left rows, the one of the smaller component looks for the other."""
 
     def go(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         a, b = [], []
         if left.num_rows and right.num_rows:
             sets = tuple(_bytes(t, "items", np.uint64) for t in (left, right))
             ids, comp = ([t.column(c).to_numpy() for t in (left, right)] for c in ("id", "comp"))
-            marks = tuple(np.stack(_bytes(t, "marks", np.uint32)) for t in (left, right))
-            band = int(left.column("at")[0].as_py())
+            marks = tuple(np.stack(_bytes(t, "marks", np.uint64)) for t in (left, right))
+            band, main = int(left.column("at")[0].as_py()), int(left.column("main")[0].as_py())
             size = [np.array([len(s) for s in own]) for own in sets]
             # The right block as rows x distinct items, for all intersections of a set at once.
             items, place = np.unique(np.concatenate(sets[1]), return_inverse=True)
@@ -219,7 +220,7 @@ def _linked(percent: int):
                 n = cuts[at + 1] - cuts[at]
                 rows = owner[np.repeat(cuts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                 both = np.bincount(rows, minlength=right.num_rows)
-                hit = np.flatnonzero((comp[1] > comp[0][i]) & (100 * both >= percent * (size[0][i] + size[1] - both)))
+                hit = np.flatnonzero(((comp[1] > comp[0][i]) | (comp[1] == main)) & (100 * both >= percent * (size[0][i] + size[1] - both)))
                 hit = _first_shared(marks, i, hit, band)
                 _, one = np.unique(comp[1][hit], return_index=True)
                 a += [ids[0][i]] * len(one)
@@ -240,39 +241,48 @@ def groups(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "
     """
     rows = _rows(docs, key, text)
     sig = keep(signatures(rows, setting), "minhash-signatures")
+    total = sig.count()  # of the files' footers; bounds all tables with a row a document or class
     full = sig.where("n > 0 and doc_id is not null")
-    classes = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    classes = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "minhash-classes", rows=total)
     own = ["doc_id", "s1", "s2"]
     reps = classes.select(F.col("rep").alias("doc_id"), "s1", "s2")
     members = full.select(*own, "bands").join(reps, own).select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
     # Tables of their own on both sides of a join, so that a hot band or class can be split when it runs.
-    hubs = keep(members.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("band", "hub"), "minhash-hubs")
-    met = keep(members.join(hubs, "band"), "minhash-met")  # bands that several classes share
+    hubs = keep(members.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("band", "hub"), "minhash-hubs", rows=total * setting.bands // 2)
+    met = keep(members.join(hubs, "band"), "minhash-met", rows=total * setting.bands)  # bands that several classes share
     stars = met.where("id > hub").groupBy("id", "hub").count()
     best = stars.groupBy("id").agg(F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("best"))
-    first = keep(best.select((-F.col("best.h")).alias("a"), F.col("id").alias("b")), "minhash-first")
-    linked = keep(verify(first, rows, reps, setting), "minhash-links")
-    comp = components(linked)
+    first = keep(best.select((-F.col("best.h")).alias("a"), F.col("id").alias("b")), "minhash-first", rows=total)
+    linked = verify(first, rows, reps, setting, total)
+    comp = components(linked, rows=total)
 
     # All other pairs: within a band, across components.
     shared = met.join(comp, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp")).distinct()
-    several = shared.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("band", "size")
-    opened = keep(shared.join(several, "band"), "minhash-open")
+    parted = shared.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    several = parted.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("main"))
+    several = several.where("comps > 1").select("band", "size", F.col("main.comp").alias("main"), (F.col("size") - F.col("main.n")).alias("others"))
+    opened = keep(shared.join(several, "band"), "minhash-open", rows=total * setting.bands)
+    forget(hubs, met, first)
     ids = opened.select(F.col("id").alias("doc_id")).distinct().join(reps, "doc_id")
     facts = full.select(*own, "n", "sketch", "bands").join(ids, own).select(F.col("doc_id").alias("id"), "n", "sketch", "bands")
-    placed = opened.join(facts, "id").select("band", "id", "comp", "size", "n", "sketch", (F.array_position("bands", F.col("band")) - 1).alias("at"), _marks("bands").alias("marks"))
-    placed = keep(placed, "minhash-placed")
+    placed = opened.join(facts, "id").select("band", "id", "comp", "size", "main", "others", "n", "sketch", (F.array_position("bands", F.col("band")) - 1).alias("at"), _marks("bands").alias("marks"))
+    placed = keep(placed, "minhash-placed", rows=total * setting.bands)
     small = placed.where(F.col("size") <= HOT).groupBy("band").applyInArrow(_near(setting.percent, SLOTS), "a long, b long")
-    links = verify(keep(small, "minhash-second"), rows, reps, setting)
-    hot = placed.where(F.col("size") > HOT).select("band", "id", "comp", "at", "marks", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int").alias("parts"))
-    hot = hot.join(_sets(hot.select(F.col("id").alias("doc_id")), rows, reps, setting), "id").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    hot = keep(hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "minhash-hot")
-    left = hot.select("band", F.col("part").alias("i"), F.col("other").alias("j"), "id", "comp", "at", "marks", "items")
-    right = hot.select("band", F.col("other").alias("i"), F.col("part").alias("j"), "id", "comp", "at", "marks", "items")
+    pairs = keep(small, "minhash-second")
+    links = verify(pairs, rows, reps, setting, None)
+    forget(pairs)
+    parts = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
+    hot = placed.where(F.col("size") > HOT).select("band", "id", "comp", "main", "at", "marks", parts("others").alias("lefts"), parts("size").alias("rights"))
+    hot = keep(hot.join(_sets(hot.select(F.col("id").alias("doc_id")), rows, reps, setting), "id"), "minhash-hot")
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = hot.where("comp <> main").select("band", block("lefts").alias("i"), every("rights").alias("j"), "id", "comp", "main", "at", "marks", "items")
+    right = hot.select("band", every("lefts").alias("i"), block("rights").alias("j"), "id", "comp", "main", "at", "marks", "items")
     more = left.groupBy("band", "i", "j").cogroup(right.groupBy("band", "i", "j")).applyInArrow(_linked(setting.percent), "a long, b long")
     comp = components(linked.unionByName(links).unionByName(more)).select(F.col("id").alias("rep"), "component")
 
-    of_class = keep(classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id")), "minhash-components")
+    of_class = keep(classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id")), "minhash-components", rows=total)
+    forget(classes, linked, links, opened, placed, hot)
     narrow = sig.select("doc_id", "n", "s1", "s2")
     alone = narrow.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     rest = narrow.where("n > 0 and doc_id is not null").join(of_class, ["s1", "s2"]).select("doc_id", "n", "component_id")
@@ -280,16 +290,22 @@ def groups(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "
 
 
 def representatives(docs: DataFrame, setting: Setting, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that are kept by groups(): one of each group. Of rows equal in key and text one stays; rows with a null key and empty texts stay."""
-    kept = groups(docs, setting, key, text).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.withColumn("__text", F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([key, "__text"]).drop("__text")
+    """The rows of docs, with all their columns, that are kept by groups(): one of each group. Rows with a null key and empty texts stay.
+
+    Of rows equal in key and text one stays: the least by all other columns in their order, null first, as text.
+    """
+    own, place = unused(docs, "__kept"), unused(docs, "__place")
+    kept = groups(docs, setting, key, text).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    rows = docs.join(kept, F.col(f"`{key}`").cast("long").eqNullSafe(F.col(own)), "left_semi")
+    others = [F.struct(F.col(f"`{c}`").isNotNull(), F.col(f"`{c}`").cast("string")) for c in docs.columns if c not in (key, text)]
+    first = F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`"))).orderBy(*others or [F.lit(0)]))
+    return rows.withColumn(place, first).where(F.col(place) == 1).drop(place)
 
 
 def _marks(bands: str):
-    """32 bits of every band key, one after the other, as numpy reads them."""
-    flip = lambda h: F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)])
-    return F.unhex(F.array_join(F.transform(bands, lambda b: flip(F.lpad(F.hex(b.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), ""))
+    """Every band key, one after the other, as numpy reads them."""
+    flip = lambda h: F.concat(*[F.substring(h, k, 2) for k in range(15, 0, -2)])
+    return F.unhex(F.array_join(F.transform(bands, lambda b: flip(F.lpad(F.hex(b), 16, "0"))), ""))
 
 
 def _sets(ids: DataFrame, rows: DataFrame, reps: DataFrame, setting: Setting) -> DataFrame:
@@ -297,9 +313,11 @@ def _sets(ids: DataFrame, rows: DataFrame, reps: DataFrame, setting: Setting) ->
     return rows.join(ids.distinct().join(reps, "doc_id"), "doc_id").select("doc_id", "text", "s1", "s2").mapInArrow(_full_sets(setting.shingle), "id long, items binary")
 
 
-def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, setting: Setting) -> DataFrame:
-    """The pairs (a, b) of class ids whose full shingle sets reach the threshold."""
+def verify(pairs: DataFrame, rows: DataFrame, reps: DataFrame, setting: Setting, most: int | None) -> DataFrame:
+    """The pairs (a, b) of class ids whose full shingle sets reach the threshold, as a kept table; `most`, if given, is at least the number of pairs."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = keep(_sets(ids, rows, reps, setting), "minhash-sets")
+    sets = keep(_sets(ids, rows, reps, setting), "minhash-sets", rows=most and 2 * most)
     a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(setting.percent), "a long, b long")
+    found = keep(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(setting.percent), "a long, b long"), "minhash-links", rows=most)
+    forget(sets)
+    return found
