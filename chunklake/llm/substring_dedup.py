@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, coded, keep, sequence_hash, signed, word_hashes
+from .common import chunks, coded, forget, keep, sequence_hash, signed, unused, word_hashes
 
 WINDOW = 50
 #: Words of the runs among which a window's anchor is chosen.
@@ -106,7 +106,8 @@ class Repeats:
         self.head = keep(heads(rows, window, run), "substring-heads")
         long = self.head.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
         tag = F.row_number().over(Window.partitionBy("rep").orderBy("s1", "s2")) - 1
-        self.reps = keep(long.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).withColumn("tag", tag.cast("long")), "substring-reps")
+        total = self.head.count()  # of the files' footers
+        self.reps = keep(long.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")).withColumn("tag", tag.cast("long")), "substring-reps", rows=total)
         first = long.join(self.reps.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"])
         found = first.select("doc_id", "tag", F.explode("anchors").alias("anchor"))
         # Tables of their own on both sides of a join, so that a hot key can be split when it runs.
@@ -118,7 +119,8 @@ class Repeats:
         hits = keep(hits, "substring-windows")
         earliest = keep(hits.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "substring-repeated")
         later = hits.join(earliest, ["w1", "w2"]).where("doc_id > lo").select("doc_id", F.shiftright("at", _TAG).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << _TAG) - 1)).alias("at"))
-        self.starts = keep(later.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("at")).alias("starts")), "substring-starts")
+        self.starts = keep(later.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("at")).alias("starts")), "substring-starts", rows=total)
+        forget(shared, hits, earliest)
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
@@ -181,8 +183,9 @@ def remove(docs: DataFrame, window: int = WINDOW, run: int = RUN, key: str = "do
     ids = found.head.where((F.col("n_words") >= size) & F.col("doc_id").isNotNull()).join(reps, ["s1", "s2"])
     spans = ids.where("doc_id <> rep").select("doc_id", "s1", "s2", F.array(F.lit(-1).cast("long")).alias("starts"))
     spans = spans.unionByName(ids.where("doc_id = rep").join(found.starts, ["doc_id", "tag"]).select("doc_id", "s1", "s2", "starts"))
-    spans = spans.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.struct("s1", "s2", "starts")).alias("__spans"))
-    joined = docs.join(spans, F.col(f"`{key}`").cast("long") == F.col("__doc"), "left").drop("__doc")
+    doc, cut = unused(docs, "__doc"), unused(docs, "__spans")
+    spans = spans.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("s1", "s2", "starts")).alias(cut))
+    joined = docs.join(spans, F.col(f"`{key}`").cast("long") == F.col(doc), "left").drop(doc)
     names = docs.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
