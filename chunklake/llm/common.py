@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; longer single texts are a step of their own.
 CHUNK_BYTES = 1 << 20
-#: Rows of a kept table's file, where their number is known.
-ROWS_PER_FILE = 100_000
+#: Rows of a kept table's file, where their number is known and they are narrow.
+ROWS_PER_FILE = 20_000
 #: Folders that keep() has written and nothing has deleted.
 _kept: list[str] = []
 
