@@ -63,7 +63,20 @@ def keep_arrays_mapped() -> None:
         set_option(-1, 32 << 20)
 
 
-def _attended(p: dict[str, np.ndarray], inputs: np.ndarray):
+def _weighed(q: np.ndarray, k: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of q (of the last positions) times k for keys up to each query, and their sums; `safe` shifts each query's products, so that none overflow or all vanish."""
+    w = k.shape[1]
+    a = q @ k.transpose(0, 2, 1)
+    seen = _causal(w, a.dtype.str)[w - q.shape[1] :]
+    if safe:
+        a -= np.where(seen > 0, a, -np.inf).max(axis=2, keepdims=True)
+        np.minimum(a, 0, out=a)  # of keys after the query
+    np.exp(a, out=a)
+    a *= seen
+    return a, a @ np.ones((w, 1), a.dtype)
+
+
+def _attended(p: dict[str, np.ndarray], inputs: np.ndarray, safe: bool):
     """x, q, k, v, attention weights before and sums for their normalisation, the attended values c, and h (with a last column of ones), a row a position."""
     b, w = inputs.shape
     d = p["out"].shape[0]
@@ -73,11 +86,7 @@ def _attended(p: dict[str, np.ndarray], inputs: np.ndarray):
     q, k, v = (x @ p["qkv"][:, i * d : (i + 1) * d] for i in range(3))
     q *= q.dtype.type(d**-0.5)
     q, k, v = (y.reshape(b, w, d) for y in (q, k, v))
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
-    a *= _causal(w, a.dtype.str)
-    total = a @ np.ones((w, 1), a.dtype)
+    a, total = _weighed(q, k, safe)
     c = a @ v
     c /= total
     c = c.reshape(b * w, d)
@@ -87,18 +96,18 @@ def _attended(p: dict[str, np.ndarray], inputs: np.ndarray):
     return x, q, k, v, a, total, c, h
 
 
-def _exponentials(z: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """z becomes its exponentials; the picked entries (places in the flat z) as they were, and the sums by row, are returned."""
-    if len(z) and (z.max() > 60 or z.min() < -60):
+def _exponentials(z: np.ndarray, picked: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """z becomes its exponentials; the entries at the picked places of the flat z as they were, and the sums by row, are returned."""
+    if safe:
         z -= z.max(axis=1, keepdims=True)
     one = z.ravel().take(picked)
     np.exp(z, out=z)
     return one, z @ np.ones((z.shape[1], 1), z.dtype)
 
 
-def _less_the_target(z: np.ndarray, picked: np.ndarray, share: np.ndarray) -> np.ndarray:
+def _less_the_target(z: np.ndarray, picked: np.ndarray, share: np.ndarray, safe: bool) -> np.ndarray:
     """z becomes the gradient of its logits: softmax by row less 1 at the picked place, times the row's share."""
-    _, total = _exponentials(z, picked)
+    _, total = _exponentials(z, picked, safe)
     z *= share / total
     z.ravel()[picked] -= share[:, 0]
     return z
@@ -116,35 +125,71 @@ def _spread(h: np.ndarray, leaf: np.ndarray, group: np.ndarray):
     return order, cuts, hs, z
 
 
+class Scorer:
+    """ln P(class) at every position of windows: of its group, and of its place in the group. Weights are folded once."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        keep_arrays_mapped()
+        d = p["out"].shape[0]
+        q, k, v = (p["qkv"][:, i * d : (i + 1) * d] for i in range(3))
+        self.p, self.each = p, [np.ascontiguousarray(m) for m in (q * q.dtype.type(d**-0.5), k, v @ p["out"])]
+
+    def __call__(self, inputs: np.ndarray, targets: np.ndarray, skip: int = 0) -> np.ndarray:
+        """Of the positions from `skip` on; those before are only looked back at."""
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            out = self._score(inputs, targets[:, skip:], skip, False)
+        return out if np.isfinite(out).all() else self._score(inputs, targets[:, skip:], skip, True)  # exponentials rarely overflow
+
+    def _score(self, inputs: np.ndarray, targets: np.ndarray, skip: int, safe: bool) -> np.ndarray:
+        p, (b, w), n = self.p, inputs.shape, targets.shape[1]
+        groups, d, leaves = p["leaf"].shape[0], p["out"].shape[0], p["leaf"].shape[2]
+        x = p["emb"].take(inputs.ravel(), axis=0).reshape(b, w, d)
+        x += p["pos"]
+        own = np.ascontiguousarray(x[:, skip:]).reshape(b * n, d)
+        q, (k, v) = (own @ self.each[0]).reshape(b, n, d), ((x.reshape(b * w, d) @ m).reshape(b, w, d) for m in self.each[1:])
+        a, total = _weighed(q, k, safe)
+        c = a @ v
+        c /= total
+        h = np.empty((b * n, d + 1), x.dtype)
+        h[:, -1] = 1
+        np.add(own, c.reshape(b * n, d), out=h[:, :-1])
+        at, target = np.arange(b * n), targets.ravel()
+        group = (target // leaves).astype(np.uint8)
+        one, total = _exponentials(h @ p["top"], at * groups + group, safe)
+        out = (one - np.log(total[:, 0])).astype(np.float64)
+        order, _, _, z = _spread(h, p["leaf"], group)
+        one, total = _exponentials(z, at * leaves + target.take(order) % leaves, safe)
+        out[order] += one - np.log(total[:, 0])
+        return out.reshape(b, n)
+
+
 def log_probs(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """ln P(class) at every position of windows: of its group, and of its place in the group."""
-    groups, _, leaves = p["leaf"].shape
-    h = _attended(p, inputs)[-1]
-    at, target = np.arange(inputs.size), targets.ravel()
-    group = (target // leaves).astype(np.uint8)
-    one, total = _exponentials(h @ p["top"], at * groups + group)
-    out = (one - np.log(total[:, 0])).astype(np.float64)
-    order, _, _, z = _spread(h, p["leaf"], group)
-    one, total = _exponentials(z, at * leaves + target.take(order) % leaves)
-    out[order] += one - np.log(total[:, 0])
-    return out.reshape(inputs.shape)
+    return Scorer(p)(inputs, targets)
 
 
 def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, out: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """Of the mean negative log probability over the real positions; written into `out`, if given."""
+    g = {k: np.empty_like(v) for k, v in p.items()} if out is None else out
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        _gradients(p, inputs, targets, real, g, False)
+    if not all(np.isfinite(g[n]).all() for n in ("pos", "top", "out")):  # exponentials rarely overflow
+        _gradients(p, inputs, targets, real, g, True)
+    return g
+
+
+def _gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, g: dict[str, np.ndarray], safe: bool) -> None:
     b, w = inputs.shape
     groups, _, leaves = p["leaf"].shape
     d, n = p["out"].shape[0], max(1, int(real.sum()))
-    g = {k: np.empty_like(v) for k, v in p.items()} if out is None else out
-    x, q, k, v, a, total, c, h = _attended(p, inputs)
+    x, q, k, v, a, total, c, h = _attended(p, inputs, safe)
     at, target = np.arange(b * w), targets.ravel()
     group = (target // leaves).astype(np.uint8)
     share = (real.ravel() / n).astype(h.dtype)[:, None]
-    z = _less_the_target(h @ p["top"], at * groups + group, share)
+    z = _less_the_target(h @ p["top"], at * groups + group, share, safe)
     np.matmul(h.T, z, out=g["top"])
     dh = z @ p["top"][:-1].T
     order, cuts, hs, z = _spread(h, p["leaf"], group)
-    _less_the_target(z, at * leaves + target.take(order) % leaves, share.take(order, axis=0))
+    z = _less_the_target(z, at * leaves + target.take(order) % leaves, share.take(order, axis=0), safe)
     dhs = np.empty_like(dh)
     for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
         np.matmul(hs[lo:hi].T, z[lo:hi], out=g["leaf"][i])
@@ -175,7 +220,6 @@ def gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     g["emb"].fill(0)
     g["emb"][ids[first]] = np.add.reduceat(dh.take(order, axis=0), first, axis=0)
-    return g
 
 
 def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:

@@ -175,8 +175,7 @@ def gather(rows: DataFrame, ranks, shape: Shape) -> DataFrame:
     """What the rows (doc_id, held_out, text) hold: kind 0, word key k and count c; kind 1, subword id k and count c, both of the rows that aren't held out; kind 2, a text of document k as ids, with bits that mark the first id of each word, a hash of the text and its number c of windows."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub = _subwords(ranks.value)
-        sub.forget()
+        sub = _subwords(ranks.value)  # with the words of the worker's tasks before
         total, seen, kind_of_id = np.zeros(sub.size, np.int64), np.zeros(0, np.int64), _kind_of_ids(sub.size)
 
         def out(kind: int, k, c: np.ndarray, *texts: pa.Array) -> pa.RecordBatch:
@@ -260,11 +259,11 @@ def _windows_of(pieces: list[bytes], maps: tuple[np.ndarray, np.ndarray], shape:
     ids = np.frombuffer(b"".join(sorted(pieces)), kind)
     ends = np.concatenate([[0], np.cumsum([len(x) // kind().itemsize for x in sorted(pieces)])])
     text, begin, _ = attention.windows(np.diff(ends) - 1, dataclasses.replace(shape, overlap=0))
-    at = (ends[text] + begin)[:, None] + np.arange(shape.window)
-    last = ends[text + 1][:, None] - 2
+    at = (ends[text] + begin).astype(np.int32)[:, None] + np.arange(shape.window, dtype=np.int32)  # a trainer's share is bounded
+    last = ends[text + 1].astype(np.int32)[:, None] - 2
     real = at <= last
     at = np.minimum(at, last)
-    return of_input[ids[at]].astype(np.int32), of_class[ids[at + 1]].astype(np.int32), real
+    return of_input.astype(np.int32)[ids][at], np.append(of_class, 0).astype(np.int32)[ids[1:]][at], real  # 0: where a piece begins, which is no target
 
 
 def _trainer(flat: np.ndarray, maps: tuple[np.ndarray, np.ndarray], class_counts: np.ndarray, shape: Shape, seed: int):
@@ -353,7 +352,7 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, maps, inner, top_key, top_count = sent.value
         kind = _kind_of_ids(len(inner))
-        attention.keep_arrays_mapped()
+        model = attention.Scorer(weights)
         for part, ids in chunks(batches, "ids"):
             seq = np.frombuffer(b"".join(ids), kind).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(x) // kind().itemsize for x in ids])])
@@ -371,9 +370,12 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
             offsets = np.searchsorted(rare >> 32, np.arange(len(ids) + 1)).astype(np.int32)
             lm = np.add.reduceat(inner[seq], ends[:-1])
             text, inputs, targets, real = _laid(seq, ends, shape, maps)
-            for lo in range(0, len(text), 64):
-                p = attention.log_probs(weights, inputs[lo : lo + 64], targets[lo : lo + 64])
-                np.add.at(lm, text[lo : lo + 64], (p * real[lo : lo + 64]).sum(axis=1))
+            later = np.diff(text, prepend=-1) == 0  # a text's first window is scored from its start, later ones after the overlap
+            for rows, skip in ((np.flatnonzero(~later), 0), (np.flatnonzero(later), shape.overlap)):
+                for lo in range(0, len(rows), 64):
+                    at = rows[lo : lo + 64]
+                    p = model(inputs[at], targets[at], skip)
+                    np.add.at(lm, text[at], (p * real[at, skip:]).sum(axis=1))
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), part.column(2), pa.array(np.bincount(owner, minlength=len(ids))), pa.array(known), pa.array(base), pa.array(lm / math.log(10)),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(distinct)[rare & 0xFFFFFFFF])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int64))),

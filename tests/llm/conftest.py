@@ -3,7 +3,7 @@ import pytest
 from tests.conftest import rows  # noqa: F401
 
 #: Names that the operators use inside; extra columns of the input must not clash with them.
-EXTRA = ["n", "s1", "s2", "rep", "bands", "copies", "key", "lane", "shard", "slot", "kept", "rate", "doc", "ids", "words", "starts", "__id", "rank", "score"]
+EXTRA = ["n", "s1", "s2", "rep", "bands", "copies", "key", "lane", "shard", "slot", "kept", "rate", "doc", "ids", "words", "starts", "__id", "rank", "score", "__doc", "__spans", "__rated", "__rate", "__times", "__copy", "__kept", "__place", "domain", "features"]
 
 
 def words(*numbers):
