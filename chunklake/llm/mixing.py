@@ -41,8 +41,11 @@ _ALWAYS = ""
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words of a whole text; null has none."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), "")
+    """Lower-cased words of a whole text; null has none.
+
+    A higher-order function on purpose: with array_remove, all up to the sums becomes one generated method, too long to be compiled.
+    """
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT), lambda w: w != "")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -107,10 +110,12 @@ def posteriors(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "
     rows = featured(docs, key, text)
     if not domains:
         return rows.select("doc", "doc_id", "n_tokens", F.lit(1.0).alias("p_all"))
-    sent = F.broadcast(table) if table.count() <= SENT else table
-    found = rows.select("doc", "doc_id", "n_tokens", "n_distinct", F.explode("features").alias("feature")).join(sent, "feature")
+    keyed = table.select(F.xxhash64("feature").alias("feature"), *domains)  # 64 bits of a feature: none of so few share them
+    sent = F.broadcast(keyed) if table.count() <= SENT else keyed
+    found = rows.select("doc", "doc_id", "n_tokens", "n_distinct", F.explode(F.transform("features", lambda x: F.xxhash64(x))).alias("feature")).join(sent, "feature")
     # All features of a row come from one task, so partial sums leave one row a document for the exchange.
-    sums = found.groupBy("doc", "doc_id", "n_tokens", "n_distinct").agg(F.count(F.when(F.col("feature") == _ALWAYS, 1)).alias("copies"), *[F.sum(d).alias(f"s_{d}") for d in domains])
+    always = F.col("feature") == F.xxhash64(F.lit(_ALWAYS))
+    sums = found.groupBy("doc", "doc_id", "n_tokens", "n_distinct").agg(F.count(F.when(always, 1)).alias("copies"), *[F.sum(d).alias(f"s_{d}") for d in domains])
     logs = {d: F.col(f"s_{d}") / F.col("copies") + F.lit(priors[d]) + F.col("n_distinct") * F.lit(rest[d]) for d in domains}  # equal rows have been summed together
     top = F.greatest(*logs.values()) if len(domains) > 1 else logs[domains[0]]
     odds = sums.select("doc", "doc_id", "n_tokens", "copies", *[F.exp(logs[d] - top).alias(f"e_{d}") for d in domains])
