@@ -230,7 +230,7 @@ def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return out
 
 
-def train(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int, rate: float = 2e-2, batch: int = 128) -> dict[str, np.ndarray]:
+def train(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, seed: int, rate: float = 4e-2, batch: int = 256) -> dict[str, np.ndarray]:
     """Adam over the windows, each once, in an order drawn from seed; the step falls to a fifth by the end."""
     keep_arrays_mapped()
     flat = pack(p)

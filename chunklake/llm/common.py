@@ -51,7 +51,13 @@ def keep(df: DataFrame, name: str, *by: str, rows: int | None = None) -> DataFra
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_FILE)))
     out = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
-    (out.partitionBy(*by) if by else out).parquet(path)
+    writers = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    try:
+        if by:  # a writer a folder, for few folders: rows needn't be sorted by them
+            spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "8")
+        (out.partitionBy(*by) if by else out).parquet(path)
+    finally:
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", writers)
     kept = spark.read.schema(schema).parquet(path)
     kept._kept = path
     _kept.append(path)

@@ -372,8 +372,8 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
             text, inputs, targets, real = _laid(seq, ends, shape, maps)
             later = np.diff(text, prepend=-1) == 0  # a text's first window is scored from its start, later ones after the overlap
             for rows, skip in ((np.flatnonzero(~later), 0), (np.flatnonzero(later), shape.overlap)):
-                for lo in range(0, len(rows), 64):
-                    at = rows[lo : lo + 64]
+                for lo in range(0, len(rows), 256):
+                    at = rows[lo : lo + 256]
                     p = model(inputs[at], targets[at], skip)
                     np.add.at(lm, text[at], (p * real[at, skip:]).sum(axis=1))
             yield pa.RecordBatch.from_arrays([
