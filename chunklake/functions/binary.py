@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import hmac
 import struct
+import urllib.parse
 import zlib
 from collections.abc import Iterator
 
@@ -73,13 +74,9 @@ def content_chunks(objects: DataFrame) -> DataFrame:
     return objects.select("domain", "doc_id", "ref", F.col("data").cast("binary")).mapInArrow(go, schemas.CHUNKS)
 
 
-#: seq, op, inode, indx, off, slice_id, size, slice_off, slice_len: 45 bytes, big-endian.
-_WAL = ">QBQIIQIII"
-
-
 def encode_log(records: list[tuple]) -> bytes:
     """Framed records: length and CRC-32 as big-endian 32-bit numbers, then 45 bytes."""
-    return b"".join(struct.pack(">II", len(body), zlib.crc32(body)) + body for body in (struct.pack(_WAL, *r) for r in records))
+    return b"".join(struct.pack(">II", len(body), zlib.crc32(body)) + body for body in (struct.pack(schemas.LOG_LAYOUT, *r) for r in records))
 
 
 def decode_log(data: bytes) -> list[tuple]:
@@ -88,9 +85,9 @@ def decode_log(data: bytes) -> list[tuple]:
     while at + 8 <= len(data):
         size, crc = struct.unpack_from(">II", data, at)
         body = data[at + 8 : at + 8 + size]
-        if size != struct.calcsize(_WAL) or len(body) != size or zlib.crc32(body) != crc:
+        if size != struct.calcsize(schemas.LOG_LAYOUT) or len(body) != size or zlib.crc32(body) != crc:
             break
-        out.append(struct.unpack(_WAL, body))
+        out.append(struct.unpack(schemas.LOG_LAYOUT, body))
         at += 8 + size
     return out
 
@@ -108,22 +105,19 @@ def log_records(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(go, "segment string, " + schemas.WAL_RECORD)
 
 
-_ENTRY = ">QIQIB"  # 25 bytes
-
-
 def pack_index(data: Column) -> Column:
     """Entries of a pack's chunk index: off, len, stored_off, stored_len, codec; null where the size isn't a whole number of entries."""
 
     def one(b: bytes | None):
-        if b is None or len(b) % struct.calcsize(_ENTRY):
+        if b is None or len(b) % struct.calcsize(schemas.ENTRY_LAYOUT):
             return None
-        return [dict(zip(("off", "len", "stored_off", "stored_len", "codec"), e, strict=True)) for e in struct.iter_unpack(_ENTRY, b)]
+        return [dict(zip(("off", "len", "stored_off", "stored_len", "codec"), e, strict=True)) for e in struct.iter_unpack(schemas.ENTRY_LAYOUT, b)]
 
     return _mapped(one, schemas.PACK_INDEX)(data)
 
 
 def encode_pack_index(entries: list[tuple]) -> bytes:
-    return b"".join(struct.pack(_ENTRY, *e) for e in entries)
+    return b"".join(struct.pack(schemas.ENTRY_LAYOUT, *e) for e in entries)
 
 
 def access_list(data: Column) -> Column:
@@ -149,21 +143,59 @@ def masked_access(acl, mode):
     return F.transform(acl, lambda e: F.struct(e["tag"].alias("tag"), e["perm"].bitwiseAND(cut(e)).alias("perm"), e["id"].alias("id")))
 
 
-_MAGIC = bytes([0x43, 0x50, 0x4B, 0x01])
+def _shrunk(raw: bytes, codec: int) -> tuple[bytes, int]:
+    """raw under codec 1 (zstd) or 2 (gzip) and that codec, or raw itself and 0 where that isn't smaller."""
+    body = zstandard.compress(raw) if codec == 1 else gzip.compress(raw, mtime=0) if codec == 2 else raw
+    return (body, codec) if len(body) < len(raw) else (raw, 0)
+
+
+def _grown(body: bytes, codec: int) -> bytes | None:
+    return body if codec == 0 else zstandard.decompress(body) if codec == 1 else gzip.decompress(body) if codec == 2 else None
 
 
 def framed(raw: bytes, codec: int) -> bytes:
     """A pack with its frame: magic, codec byte, body. A body that doesn't get smaller is stored raw."""
-    body = zstandard.compress(raw) if codec == 1 else gzip.compress(raw, mtime=0) if codec == 2 else raw
-    return _MAGIC + bytes([codec]) + body if codec and len(body) < len(raw) else _MAGIC + b"\0" + raw
+    body, codec = _shrunk(raw, codec)
+    return schemas.PACK_MAGIC + bytes([codec]) + body
+
+
+def framed_by_chunk(chunks: list[bytes], codec: int) -> bytes:
+    """A pack whose chunks are compressed one by one, so that each can be read alone: magic, 3, the codec, the length of the index as a 32-bit number, an entry a chunk, the bodies. Without compression it is framed() of all."""
+    if codec == 0:
+        return framed(b"".join(chunks), 0)
+    index, bodies, at, stored = [], [], 0, 0
+    for raw in chunks:
+        body, own = _shrunk(raw, codec)
+        index.append((at, len(raw), stored, len(body), own))
+        bodies.append(body)
+        at, stored = at + len(raw), stored + len(body)
+    packed = encode_pack_index(index)
+    return schemas.PACK_MAGIC + bytes([3, codec]) + struct.pack(">I", len(packed)) + packed + b"".join(bodies)
+
+
+def _by_chunk(data: bytes) -> bytes | None:
+    """The content of a pack of framed_by_chunk; null where its index isn't whole, doesn't tile the content, or names bytes that aren't there."""
+    size = struct.unpack_from(">I", data, 6)[0] if len(data) >= 10 else -1
+    if size < 0 or size % struct.calcsize(schemas.ENTRY_LAYOUT) or len(data) < 10 + size:
+        return None
+    bodies, out, at = data[10 + size :], [], 0
+    for off, n, stored, m, codec in struct.iter_unpack(schemas.ENTRY_LAYOUT, data[10 : 10 + size]):
+        raw = _grown(bodies[stored : stored + m], codec) if off == at and stored + m <= len(bodies) else None
+        if raw is None or len(raw) != n:
+            return None
+        out.append(raw)
+        at += n
+    return b"".join(out)
 
 
 def unframed(data: bytes) -> bytes | None:
-    """The content of a pack; without a frame it is the pack itself; null for an unknown codec."""
-    if data[:4] != _MAGIC or len(data) < 5:
+    """The content of a pack, compressed as a whole or chunk by chunk; without a frame it is the pack itself; null for an unknown codec or a body that can't be read."""
+    if data[:4] != schemas.PACK_MAGIC or len(data) < 5:
         return data
-    codec, body = data[4], data[5:]
-    return body if codec == 0 else zstandard.decompress(body) if codec == 1 else gzip.decompress(body) if codec == 2 else None
+    try:
+        return _by_chunk(data) if data[4] == 3 else _grown(data[5:], data[4])
+    except (zstandard.ZstdError, OSError, EOFError, zlib.error):
+        return None
 
 
 def compress_pack(raw: ColumnOrName, codec: ColumnOrName) -> Column:
@@ -173,6 +205,15 @@ def compress_pack(raw: ColumnOrName, codec: ColumnOrName) -> Column:
     return F.pandas_udf(run, "binary")(raw, codec)
 
 
+def compress_pack_by_chunk(chunks: ColumnOrName, codec: ColumnOrName) -> Column:
+    """Packs of arrays of chunks, each chunk compressed alone."""
+
+    def run(chunks: pd.Series, codec: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else framed_by_chunk([bytes(x) for x in c], int(n)) for c, n in zip(chunks, codec, strict=True)])
+
+    return F.pandas_udf(run, "binary")(chunks, codec)
+
+
 def decompress_pack(data: ColumnOrName) -> Column:
     return _mapped(unframed, "binary")(data)
 
@@ -184,6 +225,19 @@ def signing_key(secret: str, date: str, region: str, service: str) -> bytes:
     return key
 
 
+def canonical_request(method: str, path: str, query: dict[str, str], headers: dict[str, str], payload_hash: str) -> str:
+    """The text that a request's signature covers: method, encoded path, query by encoded name and value, headers in lower case by name with runs of blanks as one, their names, and the payload's hash, a line each."""
+    quote = lambda t, safe="": urllib.parse.quote(t, safe=f"-_.~{safe}")
+    pairs = sorted((quote(k), quote(v)) for k, v in query.items())
+    own = sorted((k.lower(), " ".join(v.split())) for k, v in headers.items())
+    return "\n".join([method, quote(path or "/", "/"), "&".join(f"{k}={v}" for k, v in pairs), "".join(f"{k}:{v}\n" for k, v in own), ";".join(k for k, _ in own), payload_hash])
+
+
+def string_to_sign(request: str, time: str, region: str, service: str) -> str:
+    """What signature_of signs for a canonical request at a time (yyyymmddThhmmssZ)."""
+    return "\n".join(["AWS4-HMAC-SHA256", time, f"{time[:8]}/{region}/{service}/aws4_request", hashlib.sha256(request.encode()).hexdigest()])
+
+
 def signature_of(secret: str, date: str, region: str, service: str):
     """A function of string-to-sign columns that gives their hex signatures; the key stays on the workers."""
     key = signing_key(secret, date, region, service)

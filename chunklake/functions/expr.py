@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chunklake import schemas
 
-# Fixed values.
+# Fixed values. Types and endings are sets, in alphabetical order.
 #: Content type families and single types that are stored as they are.
 RAW_FAMILIES = ("audio/", "image/", "video/")
 RAW_TYPES = (
@@ -69,13 +69,14 @@ def store_class(name: Column, default: int) -> Column:
 
 
 def error_kind(message: Column) -> Column:
-    """A bounded label of an error text: ok for none (null), other where no word fits."""
+    """A bounded label of an error text: ok for none (null), other where no word fits. A context that ran out or was canceled goes before all words."""
     out = F.lit("other")
     for kind, words in reversed(ERROR_KINDS):
         hit = F.lit(False)
         for w in words:
             hit = hit | message.contains(w)
         out = F.when(hit, kind).otherwise(out)
+    out = F.when(message.contains("context deadline exceeded"), "timeout").when(message.contains("context canceled"), "canceled").otherwise(out)
     return F.when(message.isNull(), "ok").otherwise(out)
 
 
@@ -129,10 +130,12 @@ def decode_user_tags(tags: Column) -> Column:
 
 
 def parse_tags(text: Column) -> Column:
-    """struct<tags, corrupt> of a JSON object of strings; null or empty text has no tags and isn't corrupt."""
-    tags = F.from_json(text, "map<string,string>")
+    """struct<tags, corrupt> of a JSON object of strings; null or empty text has no tags and isn't corrupt. A value that is no string (null aside) makes the whole text corrupt, and it then has no tags."""
+    tags, kinds = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
     full = text.isNotNull() & (F.trim(text) != "") & (F.trim(text) != "{}")
-    return F.struct(F.when(full, tags).alias("tags"), (full & (tags.isNull() | (F.size(tags) == 0))).alias("corrupt"))
+    strings = F.forall(F.map_values(kinds), lambda v: F.coalesce(F.schema_of_variant(v).isin("STRING", "VOID"), F.lit(True)))
+    bad = full & (tags.isNull() | (F.size(tags) == 0) | ~F.coalesce(strings, F.lit(False)))
+    return F.struct(F.when(full & ~bad, tags).alias("tags"), bad.alias("corrupt"))
 
 
 def parse_locks(text: Column) -> Column:
@@ -195,7 +198,7 @@ def scope_key(first: Column) -> Column:
 
 def framing(data: Column) -> Column:
     """struct<framed, codec> of a pack's first bytes: a magic and a codec byte; without it the pack is raw."""
-    framed = F.substring(data, 1, 4) == F.lit(bytes([0x43, 0x50, 0x4B, 0x01]))
+    framed = F.substring(data, 1, 4) == F.lit(schemas.PACK_MAGIC)
     return F.struct(framed.alias("framed"), F.when(framed, F.conv(F.hex(F.substring(data, 5, 1)), 16, 10).cast("int")).alias("codec"))
 
 

@@ -28,3 +28,11 @@ def candidates(filled: DataFrame, min_fill: int, min_bytes: int, most_live: int,
     w = Window.partitionBy("domain")
     n, live = F.count(F.lit(1)).over(w), F.sum("live").over(w)
     return rows.withColumns({"__n": n, "__new": F.ceil(live / target)}).where((F.col("__n") >= 2) & (F.col("__new") < F.col("__n"))).drop("__n", "__new")
+
+
+def result(scanned: DataFrame, selected: DataFrame, keys: DataFrame, target: int) -> DataFrame:
+    """One row on a pass: packs scanned, selected and to be written (a domain's live bytes in packs of `target`), manifests to be rewritten (keys: domain, pack_no, ref) and bytes rewritten."""
+    per = selected.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum("live").alias("live"))
+    sums = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("packs_selected"), F.coalesce(F.sum(F.ceil(F.col("live") / target)), F.lit(0)).alias("packs_written"), F.coalesce(F.sum("live"), F.lit(0)).alias("bytes_rewritten"))
+    refs = keys.join(selected.select("domain", "pack_no"), ["domain", "pack_no"], "left_semi").agg(F.count_distinct("domain", "ref").alias("manifests_rewritten"))
+    return scanned.agg(F.count(F.lit(1)).alias("packs_scanned")).crossJoin(sums).crossJoin(refs)  # one row each

@@ -83,9 +83,22 @@ def commit_obliterated(packs: DataFrame, assoc: DataFrame, key: list[str]) -> Da
     return known.withColumn("state", state).drop("referenced")
 
 
-def zombies(nodes: DataFrame, root: int = 1) -> DataFrame:
-    """Inodes without links and without a directory entry, the root spared. nodes: inode, nlink; an entry is a row of the same table as parent and inode."""
-    return nodes.where((F.col("nlink") <= 0) & (F.col("inode") != root))
+def reclaim_result(outcomes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row: packs considered, reclaimed and still referenced, and the bytes of those reclaimed. outcomes: domain, pack_no, outcome; sizes: domain, pack_no, size."""
+    rows = outcomes.join(sizes.select("domain", "pack_no", "size"), ["domain", "pack_no"], "left")
+    of = lambda o: F.count(F.when(F.col("outcome") == o, 1))
+    freed = F.coalesce(F.sum(F.when(F.col("outcome") == "reclaimed", F.col("size"))), F.lit(0)).alias("bytes_reclaimed")
+    return rows.agg(F.count(F.lit(1)).alias("packs_considered"), of("reclaimed").alias("packs_reclaimed"), of("still_referenced").alias("packs_still_referenced"), freed)
+
+
+def backfill_counts(assoc: DataFrame) -> DataFrame:
+    """Per domain: associations, packs and contexts."""
+    return assoc.groupBy("domain").agg(F.count(F.lit(1)).alias("associations"), F.count_distinct("pack_no").alias("packs"), F.count_distinct("context").alias("contexts"))
+
+
+def zombies(nodes: DataFrame, edges: DataFrame, root: int = 1) -> DataFrame:
+    """Inodes without links (nlink <= 0) that no entry of edges names either, the root spared. One that still has an entry is alive."""
+    return nodes.where((F.col("nlink") <= 0) & (F.col("inode") != root)).join(edges.select("inode"), "inode", "left_anti")
 
 
 def stale(objects: DataFrame, cutoff: Column, limit: int = 0) -> DataFrame:

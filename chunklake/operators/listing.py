@@ -66,3 +66,8 @@ def stale_pending(objects: DataFrame, cutoff: Column, limit: int = 0) -> DataFra
     from chunklake.operators.gc import stale
 
     return stale(objects, cutoff, limit)
+
+
+def get(objects: DataFrame, refs: DataFrame) -> DataFrame:
+    """The objects of the wanted refs; absent ones have no row."""
+    return objects.join(refs.select("ref").distinct(), "ref", "left_semi")

@@ -130,6 +130,43 @@ def rename(edges: DataFrame, moves: DataFrame) -> DataFrame:
     return delete(delete(edges, there, key), target, key).unionByName(moved)
 
 
+def rename_checked(edges: DataFrame, nodes: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """edges (parent, name, inode), nodes (inode, type, nlink) and moves with `outcome`, after moves (parent, name, to_parent, to_name, no_replace) that share no entry.
+
+    Outcomes: missing (no source), exists (a target, though no_replace), same (both are one inode: nothing happens), is_dir (a file over a
+    directory), not_dir (a directory over a file), not_empty (over a directory with entries), or moved. A directory that is
+    replaced goes, and its parent loses a link; a file that is replaced loses a link and goes with its last one. A
+    directory that changes its parent takes a link from the old one to the new. Entries of directories are those before all moves.
+    """
+    key = ["parent", "name"]
+    kind = nodes.select("inode", "type")
+    src = edges.join(kind, "inode").select(*key, F.col("inode").alias("__src"), F.col("type").alias("__kind"))
+    dst = edges.join(kind, "inode").select(F.col("parent").alias("to_parent"), F.col("name").alias("to_name"), F.col("inode").alias("__dst"), F.col("type").alias("__over"))
+    held = edges.groupBy(F.col("parent").alias("__dst")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = moves.join(src, key, "left").join(dst, ["to_parent", "to_name"], "left").join(held, "__dst", "left")
+    over, moving = F.col("__over") == "dir", F.col("__kind") == "dir"
+    outcome = (
+        F.when(F.col("__src").isNull(), "missing").when(F.col("__dst").isNull(), "moved").when(F.col("no_replace"), "exists").when(F.col("__src") == F.col("__dst"), "same")
+        .when(over & ~moving, "is_dir").when(~over & moving, "not_dir").when(over & (F.coalesce("__n", F.lit(0)) > 0), "not_empty").otherwise("moved")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    done = rows.where("outcome = 'moved'")
+    changed = F.col("parent") != F.col("to_parent")
+    delta = done.where("__over = 'dir'").select(F.col("to_parent").alias("inode"), F.lit(-1).alias("d"))
+    delta = delta.unionByName(done.where(moving & changed).select(F.explode(F.array(F.struct(F.col("parent").alias("inode"), F.lit(-1).alias("d")), F.struct(F.col("to_parent").alias("inode"), F.lit(1).alias("d")))).alias("x")).select("x.*"))
+    delta = delta.unionByName(done.where("__over <> 'dir'").select(F.col("__dst").alias("inode"), F.lit(-1).alias("d"))).groupBy("inode").agg(F.sum("d").alias("__d"))
+    gone = done.where("__over = 'dir'").select(F.col("__dst").alias("inode"))
+    left = nodes.join(gone, "inode", "left_anti").join(delta, "inode", "left").withColumn("nlink", F.col("nlink") + F.coalesce("__d", F.lit(0)))
+    left = left.where((F.col("nlink") > 0) | F.col("__d").isNull() | (F.col("type") == "dir")).drop("__d").select(*nodes.columns)
+    return rename(edges, done.select(*key, "to_parent", "to_name")), left, rows.select(*moves.columns, "outcome")
+
+
+def reserve(counters: DataFrame, name: str, n: int) -> tuple[DataFrame, int]:
+    """counters (name, value) after n numbers of `name` were taken, and the first of them: a batch takes one step of the counter."""
+    now = counters.where(F.col("name") == name).select("value").first()
+    return counters.withColumn("value", F.when(F.col("name") == name, F.col("value") + n).otherwise(F.col("value"))), now[0]
+
+
 def exchange(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """edges after each pair of entries (parent, name, to_parent, to_name) that both exist has swapped inodes."""
     key = ["parent", "name"]

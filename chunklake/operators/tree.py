@@ -1,32 +1,64 @@
-"""Trees of inodes: recursive walks in SQL, listings, orphans."""
+"""Trees of inodes: walks by pointer doubling, listings, lookups, orphans."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels that a walk climbs at most.
-DEPTH = 64
+from chunklake.scratch import drop, written
+
+
+def _climb(rows: DataFrame, pending: str, step, name: str) -> DataFrame:
+    """rows (inode, to, ...) after every row in state `pending` has followed its pointer until none is left.
+
+    Each step joins the open rows with the table itself and doubles what a pointer spans, so a tree of depth n takes log2(n) steps
+    of any number of rows. After as many steps as the longest chain can need, rows still open go round in circles, and stay open.
+    """
+    rows = written(rows, name)
+    steps = max(1, rows.count()).bit_length() + 1
+    for _ in range(steps):
+        if not rows.where(pending).limit(1).count():
+            break
+        before = rows
+        rows = written(rows.where(f"not ({pending})").unionByName(step(rows.where(pending), rows)), name)
+        drop(before)
+    return rows
 
 
 def paths(nodes: DataFrame, root: int = 1) -> DataFrame:
-    """inode and path of every inode that the root reaches."""
-    nodes.createOrReplaceTempView("__walk_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(inode, path, depth) AS (
-          SELECT inode, CAST('' AS STRING), 0 FROM __walk_nodes WHERE inode = {root}
-          UNION ALL SELECT n.inode, w.path || '/' || n.name, w.depth + 1 FROM walk w JOIN __walk_nodes n ON n.parent = w.inode WHERE w.depth < {DEPTH} AND n.inode <> {root}
-        ) SELECT inode, path FROM walk""")
+    """inode and path of every inode that the root reaches, at any depth. Inodes below a missing parent, or in a circle, have no row."""
+
+    def step(waiting: DataFrame, rows: DataFrame) -> DataFrame:
+        up = rows.select(F.col("inode").alias("to"), F.col("to").alias("__to"), F.col("path").alias("__head"))
+        return waiting.join(up, "to").select("inode", F.col("__to").alias("to"), F.concat("__head", "path").alias("path"))
+
+    start = nodes.where(F.col("inode") != root).select("inode", F.col("parent").alias("to"), F.concat(F.lit("/"), "name").alias("path"))
+    found = _climb(start, f"to <> {root}", step, "tree-paths").where(F.col("to") == root).select("inode", "path")
+    return nodes.where(F.col("inode") == root).select("inode", F.lit("").alias("path")).unionByName(found)
 
 
 def scopes(nodes: DataFrame, root: int = 1) -> DataFrame:
-    """inode and scope (ino:<n>) of every inode: its ancestor just below the root; the root's is its own."""
-    nodes.createOrReplaceTempView("__scope_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE walk(inode, top, depth) AS (
-          SELECT inode, inode, 0 FROM __scope_nodes WHERE parent = {root} OR inode = {root}
-          UNION ALL SELECT n.inode, w.top, w.depth + 1 FROM walk w JOIN __scope_nodes n ON n.parent = w.inode WHERE w.depth < {DEPTH} AND w.inode <> {root}
-        ) SELECT inode, 'ino:' || top AS scope FROM walk""")
+    """inode and scope of every inode: `root` for the root, else ino:<its ancestor just below the root>, or the ancestor that is its own parent. Where an ancestor is missing, or they go in a circle, it is ino:<the inode itself>."""
+
+    def step(waiting: DataFrame, rows: DataFrame) -> DataFrame:
+        up = rows.select(F.col("inode").alias("to"), F.col("to").alias("__to"), F.col("state").alias("__state"))
+        return waiting.join(up, "to", "left").select("inode", F.col("__to").alias("to"), F.coalesce("__state", F.lit("lost")).alias("state"))
+
+    anchor = F.col("parent").isin(root) | (F.col("parent") == F.col("inode"))
+    start = nodes.where(F.col("inode") != root).select("inode", F.when(anchor, F.col("inode")).otherwise(F.col("parent")).alias("to"), F.when(anchor, "found").otherwise("open").alias("state"))
+    found = _climb(start, "state = 'open'", step, "tree-scopes")
+    key = F.concat(F.lit("ino:"), F.when(F.col("state") == "found", F.col("to")).otherwise(F.col("inode")).cast("string"))
+    return nodes.where(F.col("inode") == root).select("inode", F.lit("root").alias("scope")).unionByName(found.select("inode", key.alias("scope")))
+
+
+def lookup(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """parent, name and inode of the wanted names (parent, name); null where there is no such entry."""
+    return wanted.join(edges.select("parent", "name", "inode"), ["parent", "name"], "left")
+
+
+def attribute_names(attributes: DataFrame) -> DataFrame:
+    """inode and the sorted names of its extended attributes (inode, name)."""
+    return attributes.groupBy("inode").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
 def resolve(nodes: DataFrame, wanted: DataFrame, root: int = 1) -> DataFrame:

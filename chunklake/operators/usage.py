@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,17 @@ def counters(rows: DataFrame, tenant: str, names: list[str]) -> DataFrame:
     return rows.groupBy(tenant).agg(*[F.sum(n).alias(n) for n in names])
 
 
+def observed(rows: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, Observation]:
+    """rows, and the sink of their measures (a count, if none are given): filled by the action that runs over the rows, without a pass of its own."""
+    sink = Observation(name)
+    return rows.observe(sink, *(measures or [F.count(F.lit(1)).alias("rows")])), sink
+
+
+def audited(rows: DataFrame, actor: Column, action: str, at: Column) -> DataFrame:
+    """An audit record for each row of an operation: actor, action, time, and the row as JSON."""
+    return rows.select(actor.alias("actor"), F.lit(action).alias("action"), at.alias("at"), F.to_json(F.struct(*rows.columns)).alias("detail"))
+
+
 def tenants(quota: DataFrame, positive: bool = False) -> DataFrame:
     """Tenants with a quota row; or only those with bytes or objects."""
     rows = quota.where((F.col("bytes") > 0) | (F.col("objects") > 0)) if positive else quota

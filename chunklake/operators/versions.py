@@ -42,6 +42,17 @@ def rewrite_tags(manifests: DataFrame, key: list[str], new: DataFrame, version)
     return now.join(new.select(*key, F.col("tags").alias("__new")), key).withColumns({"tags": tags, "version": version}).drop("__new")
 
 
+def append(manifests: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """The manifests with new versions: one that is there already, by key and version, is a row written again and replaced."""
+    return manifests.join(new.select(*key, "version"), [*key, "version"], "left_anti").unionByName(new.select(*manifests.columns))
+
+
+def slice_history(slices: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All rows of the wanted slices (slice_id), newest write first, with their rank."""
+    newest = F.row_number().over(Window.partitionBy("slice_id").orderBy(F.desc("id"), "inode"))
+    return slices.join(wanted.select("slice_id").distinct(), "slice_id", "left_semi").withColumn("rank", newest)
+
+
 def assemble(chunk_rows: DataFrame, key: list[str]) -> DataFrame:
     """Manifests from (key, seq, chunk_hash, pack_hash, offset, size): chunks in stream order, total_size. Rows with an empty pack, size <= 0 or offset < 0 refuse their manifest."""
     bad = (F.coalesce("pack_hash", F.lit("")) == "") | (F.col("size") <= 0) | (F.col("offset") < 0)

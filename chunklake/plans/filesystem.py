@@ -62,13 +62,14 @@ def dangling_slices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zombie_inodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Files whose entry is gone: customers without a balance have lost theirs."""
+    """Customers without a balance have no links; every second of them still has its entry, and so lives."""
     nodes = S.nodes(spark, sf).withColumn("nlink", F.when((F.col("type") == "file") & (F.col("length") == 0), 0).otherwise(1))
-    return gc.zombies(nodes).select("inode")
+    return gc.zombies(nodes, nodes.where("inode % 2 = 0").select("parent", "name", "inode")).select("inode")
 
 
 def scope_of(spark: SparkSession, sf: str) -> DataFrame:
-    return tree.scopes(S.nodes(spark, sf))
+    """The tree without its third region, so that all below it is lost."""
+    return tree.scopes(S.nodes(spark, sf).where("inode <> 12"))
 
 
 def path_resolve(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,8 +165,12 @@ QUERIES = {
     "clone_files": (clone_files, "SELECT inode, count(*) AS n, CAST(sum(slen) AS BIGINT) AS bytes FROM (SELECT inode, slen FROM slices UNION ALL SELECT inode + 1, slen FROM slices) GROUP BY inode"),
     "slice_orphans": (slice_orphans, f"SELECT slice_id, id > 4 AS deferred FROM slices WHERE {GONE}"),
     "dangling_slices": (dangling_slices, f"SELECT inode, slice_id FROM slices WHERE {GONE}"),
-    "zombie_inodes": (zombie_inodes, "SELECT inode FROM nodes WHERE type = 'file' AND length = 0"),
-    "scope_of": (scope_of, "SELECT inode, 'ino:' || CASE WHEN inode = 1 THEN 1 WHEN inode < 100 THEN inode WHEN inode < 1000 THEN parent ELSE (SELECT p.parent FROM nodes p WHERE p.inode = n.parent) END AS scope FROM nodes n"),
+    "zombie_inodes": (zombie_inodes, "SELECT n.inode FROM (SELECT *, CASE WHEN type = 'file' AND length = 0 THEN 0 ELSE 1 END AS nlink FROM nodes) n WHERE n.nlink <= 0 AND n.inode <> 1 AND NOT EXISTS (SELECT 1 FROM nodes e WHERE e.inode % 2 = 0 AND e.inode = n.inode)"),
+    "scope_of": (scope_of, """
+        SELECT inode, CASE WHEN inode = 1 THEN 'root' ELSE 'ino:' || coalesce(anchor, inode) END AS scope FROM nodes n LEFT JOIN (
+          WITH RECURSIVE up AS (SELECT inode AS start, inode AS cur, parent FROM nodes WHERE inode NOT IN (1, 12)
+            UNION ALL SELECT u.start, p.inode, p.parent FROM up u JOIN nodes p ON p.inode = u.parent AND p.inode <> 12 WHERE u.parent <> 1 AND u.parent <> u.cur)
+          SELECT start, max(cur) AS anchor FROM up WHERE parent = 1 OR parent = cur GROUP BY start) a ON a.start = n.inode WHERE inode <> 12"""),
     "path_resolve": (path_resolve, "SELECT '/' || r_name || '//' || n_name || '/' || c_name AS path, c_custkey + 1000 AS inode FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "readdir_plus": (readdir_plus, "SELECT parent, name, inode, type, length FROM nodes WHERE parent <> 0"),
     "child_count": (child_count, "SELECT n.inode, count(c.inode) AS entries FROM nodes n LEFT JOIN nodes c ON c.parent = n.inode WHERE n.type = 'dir' GROUP BY n.inode"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chunklake.operators import policy as P
 from chunklake.sources import fixtures as S
+from chunklake.scratch import shared_folder
 from chunklake.sources.tables import table
 from chunklake.streaming import feeds
 
@@ -98,7 +98,7 @@ def revoked_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def token_bucket_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The token bucket as a stream over the events table, run to its end; same rows as token_bucket."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chunklake-')}"
+    base = shared_folder(spark)
     at = f"{base.rstrip('/')}/bucket-{uuid.uuid4().hex}"
     name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(name)

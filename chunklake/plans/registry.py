@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chunklake.plans import filesystem, ingestion, listing, policies, scalars, storage
+from chunklake.plans import filesystem, ingestion, listing, policies, scalars, states, storage
 from chunklake.plans.prelude import with_
 
-_ALL = {**storage.QUERIES, **ingestion.QUERIES, **listing.QUERIES, **filesystem.QUERIES, **policies.QUERIES, **scalars.QUERIES}
+_ALL = {**storage.QUERIES, **ingestion.QUERIES, **listing.QUERIES, **filesystem.QUERIES, **policies.QUERIES, **scalars.QUERIES, **states.QUERIES}
 
 
 def queries() -> dict:

@@ -13,7 +13,7 @@ from chunklake.sources.tables import blob_id_parts, table
 
 _KINDS = ["text/plain", "IMAGE/png; q=1", " application/zip ", "video/mp4", "application/x-npy", "", "application/json"]
 _NAMES = [".safetensors", ".txt", ".BIN", ".gguf", "", ".tar.gz"]
-_ERRORS = ["key not found", "already exists here", "InvalidRange", "token has expired", "serialization failure", "deadline passed", "boom"]
+_ERRORS = ["key not found", "already exists here", "InvalidRange", "token has expired", "serialization failure", "deadline passed", "boom", "not found: context deadline exceeded", "conflict: context canceled"]
 
 
 def _pick(values: list[str], n):
@@ -123,7 +123,7 @@ QUERIES = {
     "codec_class": (codec_class, f"""
         SELECT doc_id, raw, codec, CASE codec WHEN 'none' THEN 0 WHEN 'zstd' THEN 1 WHEN 'gzip' THEN 2 END AS codec_byte, CASE WHEN doc_id % 6 IN (0, 2, 3) THEN 1 ELSE 0 END AS class FROM (
           SELECT doc_id, doc_id % 7 IN (1, 2, 3, 4) AS raw, CASE WHEN doc_id % 10 = 0 THEN 'gzip' WHEN doc_id % 7 IN (1, 2, 3, 4) THEN 'none' ELSE 'zstd' END AS codec FROM documents)"""),
-    "error_kind": (error_kind, f"SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'ok' ELSE {_sql_pick(['not_found', 'already_exists', 'range', 'auth', 'conflict', 'timeout', 'other'], 'doc_id')} END AS kind FROM documents"),
+    "error_kind": (error_kind, f"SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'ok' ELSE {_sql_pick(['not_found', 'already_exists', 'range', 'auth', 'conflict', 'timeout', 'other', 'timeout', 'canceled'], 'doc_id')} END AS kind FROM documents"),
     "blob_ids": (blob_ids, "SELECT doc_id, 'pack-' || d || '-' || content_hash AS blob_id, CASE WHEN d = '_' THEN '' ELSE d END AS domain, content_hash AS hash FROM (SELECT *, CASE WHEN doc_id % 4 = 0 THEN '_' ELSE domain || '-x' END AS d FROM objects)"),
     "human_sizes": (human_sizes, f"SELECT doc_id, {_HUMAN} AS by_id, true AS some FROM (SELECT doc_id, doc_id << 10 AS n FROM documents)"),
     "integrity_gate": (integrity_gate, """

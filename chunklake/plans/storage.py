@@ -52,7 +52,8 @@ def chunk_unique_bytes(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_verify(spark: SparkSession, sf: str) -> DataFrame:
     """Every chunk read back from its object and checked; the counts of what is wrong with them."""
     docs = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
-    rows = S.chunks(spark, sf).withColumn("offset", F.col("seq") * S.CHUNK).join(docs, "doc_id")
+    n = F.col("doc_id") + F.col("seq")  # some are read from the wrong place, some have another hash
+    rows = S.chunks(spark, sf).withColumns({"offset": F.col("seq") * S.CHUNK + F.when(n % 7 == 0, 1_000_000).otherwise(0), "chunk_hash": F.when(n % 5 == 0, F.reverse("chunk_hash")).otherwise(F.col("chunk_hash"))}).join(docs, "doc_id")
     return C.verified(rows).groupBy("domain", F.coalesce("problem", F.lit("ok")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -120,7 +121,7 @@ def reclaim_context(spark: SparkSession, sf: str) -> DataFrame:
     """The context is the first object, by ref, of each domain."""
     rows = assoc(spark, sf)
     one = rows.groupBy("domain").agg(F.min("context").alias("__c"))
-    marked = rows.join(F.broadcast(one), "domain").withColumn("context", F.when(F.col("context") == F.col("__c"), "gone").otherwise(F.col("context")))  # one: a row a domain
+    marked = rows.join(one, "domain").withColumn("context", F.when(F.col("context") == F.col("__c"), "gone").otherwise(F.col("context")))
     return gc.reclaim_context(marked, F.lit("gone"))
 
 
@@ -184,7 +185,7 @@ QUERIES = {
             SELECT domain, doc_id, CAST(sum(size) AS BIGINT) AS logical, CAST(coalesce(sum(size) FILTER (WHERE owner = doc_id), 0) AS BIGINT) AS physical, count(*) AS chunks, count(*) FILTER (WHERE owner = doc_id) AS new_chunks FROM owned GROUP BY domain, doc_id)
           WINDOW w AS (PARTITION BY domain ORDER BY doc_id))"""),
     "chunk_unique_bytes": (chunk_unique_bytes, "SELECT domain, CAST(sum(n) AS BIGINT) AS chunks, count(*) AS distinct_chunks, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum(s) AS BIGINT) AS unique_bytes FROM (SELECT domain, chunk_hash, count(*) AS n, max(size) AS s, sum(size) AS b FROM chunks GROUP BY ALL) GROUP BY domain"),
-    "chunk_verify": (chunk_verify, "SELECT domain, 'ok' AS problem, count(*) AS n FROM chunks GROUP BY domain"),
+    "chunk_verify": (chunk_verify, "SELECT domain, CASE WHEN (doc_id + seq) % 7 = 0 THEN 'out_of_bounds' WHEN (doc_id + seq) % 5 = 0 THEN 'hash_mismatch' ELSE 'ok' END AS problem, count(*) AS n FROM chunks GROUP BY 1, 2"),
     "prior_version_reuse": (prior_version_reuse, """
         SELECT owner_key, version, CAST(len(h) AS BIGINT) AS chunks, CAST(len(list_filter(h, lambda x: list_contains(b, x))) AS BIGINT) AS reused FROM (
           SELECT owner_key, version, h, coalesce(lag(h) OVER (PARTITION BY owner_key ORDER BY version), []) AS b FROM (

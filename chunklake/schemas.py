@@ -1,5 +1,13 @@
 """Schemas of the tables that the operators read and return. Times are timestamp_ntz in UTC, names are strings in byte order."""
 
+# The layouts of stored records.
+#: First bytes of a framed pack.
+PACK_MAGIC = b"CPK\x01"
+#: A log record: seq, op, inode, indx, off, slice_id, size, slice_off, slice_len: 45 bytes, big-endian.
+LOG_LAYOUT = ">QBQIIQIII"
+#: An entry of a pack's chunk index: offset, length, stored offset, stored length, codec: 25 bytes, big-endian.
+ENTRY_LAYOUT = ">QIQIB"
+
 OBJECTS = "domain string, ref string, doc_id bigint, content_hash string, size_b bigint, pending boolean, created_at timestamp_ntz"
 CHUNKS = "domain string, doc_id bigint, ref string, seq bigint, chunk_hash string, size bigint"
 PACKS = "domain string, pack_no bigint, size bigint, chunks bigint"

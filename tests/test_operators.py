@@ -1,6 +1,8 @@
 """Hand-written cases of the operators: expected rows, invariants, and the places where semantics surprise."""
 
 import datetime as dt
+import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,23 +15,33 @@ from tests.conftest import rows
 
 SLICE = "inode bigint, id bigint, slice_id bigint, pos bigint, slen bigint, soff bigint"
 
-#: (slices as (pos, id, soff, len) in write order, window, expected segments (start, end, id, src_off))
-OVERLAYS = [
-    ([(0, 1, 0, 100)], (0, 100), [(0, 100, 1, 0)]),
-    ([(0, 1, 0, 100), (40, 2, 0, 20)], (0, 100), [(0, 40, 1, 0), (40, 60, 2, 0), (60, 100, 1, 60)]),
-    ([(0, 1, 0, 20)], (0, 100), [(0, 20, 1, 0), (20, 100, 0, 0)]),
-    ([(0, 1, 0, 100)], (30, 70), [(30, 70, 1, 30)]),
-    ([(0, 1, 0, 100), (20, 2, 0, 60), (40, 3, 0, 20)], (0, 100), [(0, 20, 1, 0), (20, 40, 2, 0), (40, 60, 3, 0), (60, 80, 2, 40), (80, 100, 1, 80)]),
-    ([(0, 1, 0, 100), (10, 2, 5, 20), (0, 3, 7, 100)], (0, 100), [(0, 100, 3, 7)]),  # hidden slices leave no cut
-]
-
-
-@pytest.mark.parametrize("case", OVERLAYS)
-def test_overlay(spark, case):
-    slices, (lo, hi), expected = case
-    df = spark.createDataFrame([(1, i, s, p, n, o) for i, (p, s, o, n) in enumerate(slices, 1)], SLICE)
-    got = overlay.segments(df, lo, hi).select("start", "end", "slice_id", "src_off")
-    assert sorted(map(tuple, got.collect())) == expected
+def overlay_brute(slices, lo, hi):
+    """Byte by byte: the newest slice over each, and where it is in the slice."""
+    held = [(0, 0)] * (hi - lo)
+    for number, _, pos, n, soff in sorted(slices, key=lambda x: x[1]):
+        for at in range(max(pos, lo), min(pos + n, hi)):
+            held[at - lo] = (number, soff + at - pos)
+    out = []
+    for at, (number, src) in enumerate(held, lo):
+        last = out[-1] if out else None
+        if last and last[2] == number and (number == 0 or last[3] + at - last[0] == src):
+            last[1] = at + 1
+        else:
+            out.append([at, at + 1, number, src])
+    return [tuple(x) for x in out]
+
+
+def test_overlays_byte_by_byte(spark):
+    rnd = random.Random(12)
+    files = {1: [(7, 1, 3, 4, 2)], 2: [(5, 1, 0, 50, 0)], 3: [(5, 1, 90, 30, 1), (6, 2, 2, 1, 0)]}
+    for inode in range(4, 40):
+        files[inode] = [(rnd.randint(1, 4), k, rnd.randint(0, 60), rnd.randint(1, 30), rnd.randint(0, 9)) for k in range(1, rnd.randint(2, 9))]
+    df = spark.createDataFrame([(i, k, n, pos, size, soff) for i, rows in files.items() for n, k, pos, size, soff in rows], SLICE)
+    for lo, hi in ((0, 100), (17, 43)):
+        got = {}
+        for r in overlay.segments(df, lo, hi).collect():
+            got.setdefault(r["inode"], []).append((r["start"], r["end"], r["slice_id"], r["src_off"]))
+        assert {i: sorted(x) for i, x in got.items()} == {i: overlay_brute(rows, lo, hi) for i, rows in files.items()}
 
 
 def test_clone_range_keeps_what_strict_reference_loses(spark):
@@ -334,3 +346,83 @@ def test_plans_push_down_and_don_t_cross(spark, capsys):
         registry.queries()[name](spark, SF).explain("formatted")
         plan = capsys.readouterr().out
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def tree_rows(spark, data):
+    return spark.createDataFrame(data, "inode bigint, parent bigint, name string, nlink int")
+
+
+def test_deep_trees_circles_and_lost_parents(spark):
+    """A chain of 300, a circle, an inode that is its own parent, and one whose ancestor is gone."""
+    chain = [(1, 0, "", 2)] + [(10 + i, 9 + i if i else 1, f"n{i}", 1) for i in range(300)]
+    nodes = tree_rows(spark, [*chain, (500, 501, "x", 1), (501, 500, "y", 1), (600, 600, "own", 1), (601, 600, "c", 1), (701, 700, "z", 1), (702, 701, "w", 1)])
+    paths = {r["inode"]: r["path"] for r in tree.paths(nodes).collect()}
+    assert paths == {1: "", **{10 + i: "".join(f"/n{k}" for k in range(i + 1)) for i in range(300)}}
+    scopes = {r["inode"]: r["scope"] for r in tree.scopes(nodes).collect()}
+    assert scopes == {1: "root", **{10 + i: "ino:10" for i in range(300)}, 500: "ino:500", 501: "ino:501", 600: "ino:600", 601: "ino:600", 701: "ino:701", 702: "ino:702"}
+    assert tree.paths(nodes.where("false")).count() == 0 and tree.scopes(nodes.where("false")).count() == 0
+
+
+def test_trees_wider_than_a_recursion(spark):
+    nodes = spark.range(2, 1_200_002).selectExpr("id as inode", "case when id < 1000 then 1 else id % 998 + 2 end as parent", "'a' as name").union(spark.sql("select 1L, 0L, ''"))
+    assert tree.paths(nodes).where("length(path) > 0").count() == 1_200_000
+    assert tree.scopes(nodes).selectExpr("count(distinct scope)").first()[0] == 999
+
+
+def test_zombies_have_no_entry(spark):
+    nodes = tree_rows(spark, [(1, 0, "", 0), (2, 1, "a", 0), (3, 1, "b", 0), (4, 1, "c", 1), (5, 1, "d", -1)])
+    edges = spark.createDataFrame([(1, "a", 2), (1, "c", 4)], "parent bigint, name string, inode bigint")
+    assert sorted(r["inode"] for r in gc.zombies(nodes, edges).collect()) == [3, 5]
+
+
+def test_rename_rules(spark):
+    edges = spark.createDataFrame([(1, "d1", 2), (1, "d2", 3), (1, "d3", 4), (4, "kid", 5), (1, "f1", 6), (1, "f2", 7), (2, "f3", 8), (1, "hard", 8), (1, "g", 9), (1, "d4", 10)], "parent bigint, name string, inode bigint")
+    nodes = spark.createDataFrame([(1, "dir", 6), (2, "dir", 2), (3, "dir", 2), (4, "dir", 2), (5, "file", 1), (6, "file", 1), (7, "file", 1), (8, "file", 2), (9, "file", 1), (10, "dir", 2)], "inode bigint, type string, nlink int")
+
+    def move(*rows):
+        e, n, m = mutations.rename_checked(edges, nodes, spark.createDataFrame(rows, "parent bigint, name string, to_parent bigint, to_name string, no_replace boolean"))
+        return {r["inode"]: (r["parent"], r["name"]) for r in e.collect()}, {r["inode"]: r["nlink"] for r in n.collect()}, [r["outcome"] for r in m.orderBy("name").collect()]
+
+    for row, outcome in (((1, "no", 1, "x", False), "missing"), ((1, "f1", 1, "f2", True), "exists"), ((1, "hard", 2, "f3", False), "same"), ((1, "f1", 1, "d1", False), "is_dir"), ((1, "d1", 1, "f1", False), "not_dir"), ((1, "d1", 1, "d3", False), "not_empty")):
+        e, n, got = move(row)
+        assert got == [outcome] and len(n) == 10 and n[1] == 6 and len(e) == 9
+    e, n, got = move((1, "f1", 1, "f2", False), (1, "g", 2, "f3", False), (1, "d2", 1, "d4", False), (1, "d3", 2, "in", False))
+    assert got == ["moved"] * 4
+    assert 7 not in n and n[8] == 1 and 10 not in n  # a last link, one of two, a directory that was replaced
+    assert n[1] == 6 - 1 - 1 and n[2] == 3 and e[3] == (1, "d4") and e[4] == (2, "in") and e[9] == (2, "f3")
+
+
+def test_packs_by_chunk():
+    chunks = [b"a" * 500, b"", bytes(range(200)), b"b" * 90]
+    for codec in (0, 1, 2):
+        pack = B.framed_by_chunk(chunks, codec)
+        assert B.unframed(pack) == b"".join(chunks)
+        if codec:
+            size = struct.unpack_from(">I", pack, 6)[0]
+            index = list(struct.iter_unpack(">QIQIB", pack[10 : 10 + size]))
+            assert pack[:6] == b"CPK\x01" + bytes([3, codec]) and [e[4] for e in index] == [codec, 0, 0, codec]
+            assert B.unframed(pack[:-1]) is None and B.unframed(pack[:12]) is None and B.unframed(pack[:10] + bytes([9]) + pack[11:]) is None
+    assert B.unframed(b"CPK\x01\x07x") is None and B.unframed(b"CPK\x01\x01broken") is None and B.unframed(b"raw") == b"raw"
+
+
+def test_canonical_requests():
+    got = B.canonical_request("GET", "/a b/\u00e9", {"z": "1", "a": "x y", "prefix": "a/b"}, {"Host": "h.example", "X-Amz-Date": " 20240101T000000Z ", "b": "two  words"}, "UNSIGNED-PAYLOAD")
+    assert got == "GET\n/a%20b/%C3%A9\na=x%20y&prefix=a%2Fb&z=1\nb:two words\nhost:h.example\nx-amz-date:20240101T000000Z\n\nb;host;x-amz-date\nUNSIGNED-PAYLOAD"
+    text = B.string_to_sign(got, "20240101T000000Z", "r", "s3")
+    assert text.startswith("AWS4-HMAC-SHA256\n20240101T000000Z\n20240101/r/s3/aws4_request\n") and len(text.rsplit("\n", 1)[1]) == 64
+
+
+def test_tags_are_strings(spark):
+    texts = [None, "", "{}", '{"a":"b"}', '{"a":1}', '{"a":{"b":1}}', '{"a":null}', "{bad", "[1]", '{"a":"b","c":true}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.parse_tags(F.col("t")).alias("p")).orderBy("i")
+    assert [r["p"]["corrupt"] for r in df.collect()] == [False, False, False, False, True, True, False, True, True, True]
+    assert [r["p"]["tags"] for r in df.collect()][3:6] == [{"a": "b"}, None, None]
+
+
+def test_counters_observations_and_audit(spark):
+    counters, first = mutations.reserve(spark.createDataFrame([("nextslice", 7), ("nextinode", 3)], "name string, value bigint"), "nextslice", 1000)
+    assert first == 7 and {r["name"]: r["value"] for r in counters.collect()} == {"nextslice": 1007, "nextinode": 3}
+    rows, sink = usage.observed(spark.range(10), "rows", F.sum("id").alias("ids"), F.count(F.lit(1)).alias("n"))
+    rows.write.format("noop").mode("overwrite").save()
+    assert sink.get == {"ids": 45, "n": 10}
+    assert [tuple(r) for r in usage.audited(spark.range(1), F.lit("me"), "delete", F.lit(5)).collect()] == [("me", "delete", 5, '{"id":0}')]
