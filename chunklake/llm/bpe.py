@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import values
+from .common import give_back, small_batches, values
 
 #: The published pre-tokenizer's pattern, with white space spelt out as the Unicode property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -210,11 +210,11 @@ class Units(dict):
         return ids, before[np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])]
 
 
-_loaded: dict[int, PairIndexBPE] = {}
+_loaded: dict[bytes, PairIndexBPE] = {}
 
 
 def _load(blob: bytes) -> PairIndexBPE:
-    key = hash(blob)
+    key = hashlib.sha256(blob).digest()
     if key not in _loaded:
         _loaded[key] = PairIndexBPE(blob)
     return _loaded[key]
@@ -235,6 +235,7 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
         for lo, hi in zip(edges, edges[1:], strict=False):
             yield batch.slice(lo, hi - lo), texts[lo:hi]
+        give_back()
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,7 +251,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             ids, ends = units.ids_of(units.numbers(texts))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>")
 
 
@@ -283,5 +284,5 @@ def digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 back.append(hashlib.sha256(b"".join([units.bytes[u] for u in own]).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -19,11 +21,14 @@ from chunklake.scratch import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; longer single texts are a step of their own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
 #: Rows of a kept table's file, where their number is known and they are narrow.
 ROWS_PER_FILE = 20_000
 #: Folders that keep() has written and nothing has deleted.
 _kept: list[str] = []
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -74,6 +79,22 @@ def scratch(spark: SparkSession):
         _delete(spark, path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends whole texts to Python by BATCH_BYTES from now on: the setting's default would hold a whole split of the input several times over, in the JVM and in each worker."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = re.fullmatch(r"(-?\d+)b?", conf.get(name))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker which lives on doesn't hold what a large batch took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -145,6 +166,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         for lo, hi in zip(edges, edges[1:], strict=False):
             part = batch.slice(lo, hi - lo)
             yield part, values(part.column(at))
+        give_back()
 
 
 def sequence_hash(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .attention import Shape
-from .common import chunks, coded, forget, keep, mix, signed
+from .common import chunks, coded, forget, keep, mix, signed, small_batches
 
 #: Frequent words whose counts are sent to every worker: 16 bytes each.
 FREQUENT = 524_288
@@ -333,7 +333,7 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't depend on the input
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), held_out(F.col(f"`{key}`")).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("doc_id"), held_out(F.col(f"`{key}`")).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("text"))
     got = keep(gather(rows, ranks, shape), "lm-gathered", "kind")
     texts = got.where("kind = 2")
     counts = keep(got.where("kind = 0").groupBy("k").agg(F.sum("c").alias("c")).where("c > 0"), "lm-words")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, coded, forget, keep, mix, signed, unused, word_hashes
+from .common import chunks, coded, forget, keep, mix, signed, small_batches, unused, word_hashes
 from .components import components
 
 SLOTS, BANDS = 256, 32
@@ -112,7 +112,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    return small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
 
 
 def _set_id(s: np.ndarray) -> tuple[int, int]:

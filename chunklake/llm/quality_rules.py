@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, coded, inside, plain, sequence_hash, word_hashes
+from .common import chunks, coded, inside, plain, sequence_hash, small_batches, word_hashes
 
 #: Characters that count as symbols, fixed by the contract.
 SYMBOLS = b"#*$%&|<>"
@@ -198,7 +198,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[
     judged each by itself. Extra columns are not read.
     """
     rules = ordered(docs.select(F.col(f"`{text}`").alias("text")), rules)
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -220,4 +220,4 @@ def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES) ->
             kept, _ = cascade(Measures(texts), rules)
             yield part.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, coded, forget, keep, sequence_hash, signed, unused, word_hashes
+from .common import chunks, coded, forget, keep, sequence_hash, signed, small_batches, unused, word_hashes
 
 WINDOW = 50
 #: Words of the runs among which a window's anchor is chosen.
@@ -47,7 +47,7 @@ def sequence_id(words: list[bytes]) -> tuple[bytes, int, int]:
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
+    return small_batches(docs).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
 
 
 def heads(docs: DataFrame, window: int, run: int) -> DataFrame:
