@@ -143,11 +143,16 @@ def parse_locks(text: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """B below 1024, else one decimal and KiB .. EiB."""
+    """B below 1024, else one decimal and KiB .. EiB; null for null. The decimal is that of the number as a double, ties to the even one, as in Go and C; Java's format rounds them up."""
     out = F.format_string("%d B", n)
     for i, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB", "EiB"), 1):
-        out = F.when(n >= (1 << (10 * i)), F.format_string(f"%.1f {unit}", n / F.lit(float(1 << (10 * i))))).otherwise(out)
-    return out
+        scaled = n / F.lit(float(1 << (10 * i)))
+        whole = F.floor(scaled)
+        tenfold = ((scaled - whole) * F.lit(float(1 << 52))).cast("long") * 10  # all bits of the fraction: 52 at most, as the number is 1 or more
+        down, rest = F.shiftright(tenfold, 52), tenfold.bitwiseAND(F.lit((1 << 52) - 1))
+        tenths = whole * 10 + down + F.when((rest > 1 << 51) | ((rest == 1 << 51) & (down % 2 == 1)), 1).otherwise(0)
+        out = F.when(n >= (1 << (10 * i)), F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(n.isNotNull(), out)
 
 
 def path_parts(path: Column) -> Column:

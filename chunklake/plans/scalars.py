@@ -56,7 +56,7 @@ def blob_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def human_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.pow(F.octet_length("text").cast("double"), F.lit(2.0)).cast("bigint")
+    n = F.pow(F.octet_length(F.coalesce("text", F.lit(""))).cast("double"), F.lit(2.0)).cast("bigint")
     return table(spark, sf, "documents").select("doc_id", X.human_bytes(F.shiftleft(F.col("doc_id"), 10)).alias("by_id"), (n >= 0).alias("some"))
 
 

@@ -50,6 +50,16 @@ def test_clone_range_keeps_what_strict_reference_loses(spark):
     assert overlay.clone_range(df, 1, 1, 0, 5, 1, strict_reference=True).count() == 1
 
 
+def test_human_bytes_round_ties_to_even(spark):
+    """As %.1f of C and Go does, with the number as a double; Java's rounds 1.25 up."""
+    rng = random.Random(3)
+    sizes = [-5, 0, 1023, 1024, 1280, 1792, 1310720, (1 << 60) + 1, (1 << 63) - 1, *(1280 << (10 * i) for i in range(5)), *(rng.randrange(1 << rng.randrange(1, 63)) for _ in range(500))]
+    whole = lambda n, i: f"{float(n) / (1 << (10 * i)):.1f} {'KMGTPE'[i - 1]}iB" if i else f"{n} B"
+    want = {n: whole(n, max(0, (n.bit_length() - 1) // 10) if n > 0 else 0) for n in sizes} | {None: None}
+    got = spark.createDataFrame([(n,) for n in want], "n long").select("n", X.human_bytes(F.col("n"))).collect()
+    assert {r[0]: r[1] for r in got} == want and want[1310720] == "1.2 MiB"
+
+
 def test_windows_and_whole_chunks(spark):
     df = spark.createDataFrame([("a", 0, 10), ("b", 10, 25), ("c", 35, 0)], "ref string, offset bigint, size bigint")
     got = overlay.file_windows(df, 16).select("ref", "window_no", "lo", "hi")
