@@ -5,9 +5,9 @@ each distinct word is drawn from the domain's telling words or from all others t
 drawn beside them. Document rates r >= least then minimise the sum over domains of (sum_d r_d t_d p_dk - T_k)^2 / S_k, t being
 tokens, p posteriors, T targets and S the tokens at rate 1, and among equals the rates nearest to 1, by projected
 gradient steps. Projection is lazy: a document's rate is its starting rate less its posteriors times the sum of all steps so
-far, cut at its least, so that a few numbers hold the state of all rates. A step is the residual preconditioned by the
-Gram sums of the rows that are not cut, halved while the objective doesn't fall, and a plain gradient step where halving
-doesn't help; it takes one distributed aggregate of some K * K numbers.
+far, cut at its least and most, so that a few numbers hold the state of all rates. A step is the residual preconditioned by
+the Gram sums of the rows that are not cut, and takes one distributed aggregate of some K * K numbers; where the objective
+doesn't fall enough, one more aggregate tries shorter and damped steps, down to plain gradient steps.
 """
 
 from __future__ import annotations
@@ -32,8 +32,12 @@ CLEAR = 0.99
 ENOUGH = 1e-6
 #: Weight of the distance of rates from 1 beside the least squares.
 NEAR_ONE = 1e-8
-#: Parts of a step that are tried before a plain one.
-HALVINGS = (1.0, 0.5, 0.25, 0.125, 0.0625)
+#: Where a step isn't good: shares of all tokens by domain that are added to the Gram sums (1: a plain step at most), and parts of such steps; all are tried at once.
+DAMPS, PARTS = (0.0, 1e-8, 1e-6, 1e-4, 1e-2, 1.0), (1.0, 0.25, 0.0625, 0.015625)
+#: Steps after which a fit ends, if targets that can't be reached keep it from settling before; `gap` says what is left.
+STEPS = 60
+#: How often resample() gives a row at most, and how many times its tokens it asks of a domain at most: a domain with next to no tokens can't have a share by repeating a few rows without end.
+MOST = 16.0
 _SPLIT = r"[\x20\x09-\x0D]+"
 _SYMBOLS = r"[#*$%&|<>!]"
 #: A feature of every document that tells nothing: it keeps documents without others, and counts equal rows.
@@ -124,13 +128,14 @@ def posteriors(docs: DataFrame, model: tuple, key: str = "doc_id", text: str = "
     return odds.select("doc", "doc_id", "n_tokens", *[F.round(F.col(f"e_{d}") / total, 9).alias(f"p_{d}") for d in domains], each).drop("copy")
 
 
-def rates(members: DataFrame, weights: dict[str, float], growth: float = 1.0) -> DataFrame:
+def rates(members: DataFrame, weights: dict[str, float], growth: float = 1.0, most: float | None = None) -> DataFrame:
     """members with a rate for each row, fitted so that expected tokens of domain k are near weights[k] * growth * all tokens, and `gap`: the largest distance from a target that is left, as a share of all tokens.
 
     gap is next to 0 where the targets can be reached; where they can't, the rates are those of the least sum of squares. weights are
     brought to sum 1; domains without one have weight 0. Rows without tokens keep rate 1 where their posteriors are those
-    of others. Where members have a column __least, no rate falls below it. An empty table stays empty. Repeated rows and ties
-    have equal rates. The sums of a step (a few numbers a domain) are all that reaches the driver.
+    of others. Where members have a column __least, no rate falls below it. With `most`, no rate rises above it, and no
+    domain is asked for more than so many times its tokens; gap then still counts from the target of the weights. An empty table
+    stays empty. Repeated rows and ties have equal rates. The sums of a step (a few numbers a domain) are all that reaches the driver.
     """
     names = [c[2:] for c in members.columns if c.startswith("p_")]
     given = np.array([weights.get(d, 0.0) for d in names])
@@ -141,13 +146,18 @@ def rates(members: DataFrame, weights: dict[str, float], growth: float = 1.0) ->
 
     def rate_of(by: np.ndarray) -> tuple[Column, Column]:
         free = F.lit(1.0) - sum((q * F.lit(float(x)) for q, x in zip(p, by, strict=True)), F.lit(0.0))
-        return free, F.greatest(least, free)
+        rate = F.greatest(least, free)
+        return free, rate if most is None else F.least(F.lit(float(most)), rate)
+
+    def worth(by: np.ndarray) -> Column:
+        free, rate = rate_of(by)
+        return F.sum(t * (rate * free - rate * rate / 2))
 
     def sums(by: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Tokens of each domain at these rates, the Gram sums of the rows that aren't cut, and the rows' part of the objective."""
         free, rate = rate_of(by)
-        own = F.when(free >= least, t).otherwise(0.0)
-        got = members.agg(*[F.sum(t * q * rate) for q in p], *[F.sum(own * p[i] * p[j]) for i, j in pairs], F.sum(t * (rate * free - rate * rate / 2))).first()
+        own = F.when(free == rate, t).otherwise(0.0)
+        got = members.agg(*[F.sum(t * q * rate) for q in p], *[F.sum(own * p[i] * p[j]) for i, j in pairs], worth(by)).first()
         gram = np.zeros((len(names), len(names)))
         for (i, j), v in zip(pairs, got[len(names) : -1], strict=True):
             gram[i, j] = gram[j, i] = v or 0.0
@@ -159,25 +169,26 @@ def rates(members: DataFrame, weights: dict[str, float], growth: float = 1.0) ->
     if not everything:
         return members.withColumns({"rate": F.lit(1.0), "gap": F.lit(0.0)}).drop("__least")
     share = np.maximum(now, 1e-12 * everything)
-    target, near = given * growth * everything, NEAR_ONE * share
+    wanted, near = given * growth * everything, NEAR_ONE * share
+    target = wanted if most is None else np.minimum(wanted, most * now)
     objective = lambda by, value: value + float(by @ target + (near * by * by).sum() / 2)
-    fine = False
-    while not fine:
+    for _ in range(STEPS):
         slope, best = target - now + near * by, objective(by, value)
         if np.abs(slope).max() <= ENOUGH * everything:
             break
         quick = np.linalg.solve(gram + np.diag(near), -slope)
-        for part in HALVINGS:
-            to = by + part * quick
-            got = sums(to)
-            if objective(to, got[2]) <= best + 1e-4 * part * float(quick @ slope):
-                break
-        else:
-            to = by - slope / (share + near)  # the Gram sums are never above the shares, so that this step always falls
+        to = by + quick
+        got = sums(to)
+        if not objective(to, got[2]) <= best + 1e-4 * float(quick @ slope):
+            tried = [by + part * np.linalg.solve(gram + np.diag(near + damp * share), -slope) for damp in DAMPS for part in PARTS]
+            found = members.agg(*[worth(x).alias(f"v{i}") for i, x in enumerate(tried)]).first()
+            to = min(zip(tried, found, strict=True), key=lambda x: objective(*x))[0]
             got = sums(to)
         fine = objective(to, got[2]) >= best - 1e-14 * abs(best)  # nothing is left that doubles can tell apart
         by, (now, gram, value) = to, got
-    return members.withColumns({"rate": F.round(rate_of(by)[1], 6), "gap": F.lit(float(np.abs(now - target).max() / everything))}).drop("__least")
+        if fine:
+            break
+    return members.withColumns({"rate": F.round(rate_of(by)[1], 6), "gap": F.lit(float(np.abs(now - wanted).max() / everything))}).drop("__least")
 
 
 def floored(members: DataFrame, domains: DataFrame, spared: str) -> DataFrame:
@@ -188,28 +199,28 @@ def floored(members: DataFrame, domains: DataFrame, spared: str) -> DataFrame:
     return members.join(named, F.col("doc_id") == F.col("__id"), "left").withColumn("__least", spare.cast("double")).drop("__id", "__domain")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, key: str = "doc_id", text: str = "text", spared: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, key: str = "doc_id", text: str = "text", spared: str | None = None, most: float | None = None) -> DataFrame:
     """doc, doc_id, n_tokens, p_<domain>, rate and gap (as rates() gives it) of every row of docs.
 
     A null text has no tokens. Repeated rows are rows of their own with equal rates. Without usable labels there is one domain, `all`.
     Extra columns of docs are not read, so their names can't clash. Rows of the domain `spared`, by label or else by
-    posterior, have a rate of 1 at least.
+    posterior, have a rate of 1 at least; `most` is as in rates().
     """
     own = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     domains = domain_of(labels)
     members = posteriors(own, classifier(own, domains))
     members = keep(floored(members, domains, spared) if spared else members, "mixing-members")
-    return rates(members, weights, growth)
+    return rates(members, weights, growth, most)
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, key: str = "doc_id", text: str = "text", spared: str | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], growth: float = 1.0, key: str = "doc_id", text: str = "text", spared: str | None = None, most: float = MOST) -> DataFrame:
     """docs, with all their columns, each row as often as its rate says: the whole part, and once more where a hash of the id, as a number in [0, 1), lies below the rest.
 
     Rows with equal id and text have one rate and one draw, so all of them come back alike; a null id draws like any other, and a
-    null text is an empty one. Without usable labels, every row has the rate `growth`. An empty table stays empty.
+    null text is an empty one. Without usable labels, every row has the rate `growth`. No rate is above `most`. An empty table stays empty.
     """
     one, rate, mine, times, copy = (unused(docs, n) for n in ("__rated", "__rate", "__doc", "__times", "__copy"))
-    rated = mix(docs, labels, weights, growth, key, text, spared).groupBy(F.col("doc").alias(one)).agg(F.max("rate").alias(rate))
+    rated = mix(docs, labels, weights, growth, key, text, spared, most).groupBy(F.col("doc").alias(one)).agg(F.max("rate").alias(rate))
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     doc = F.xxhash64(F.col(f"`{key}`").alias("doc_id"), body.alias("body"))
     draw = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("draw")), F.lit(1 << 20)) / F.lit(float(1 << 20))

@@ -292,6 +292,31 @@ def test_rates_are_the_least_squares_that_can_be_had(spark):
         assert abs(gap - got["gap"][0]) < 1e-5
 
 
+def test_a_domain_with_next_to_no_tokens_repeats_no_row_without_end(spark):
+    """A share that a domain's tokens can't give: rates stay below `most`, and the other targets are met."""
+    rng = np.random.default_rng(4)
+    weights = {"good": 0.985, "poor": 0.005, "toxic": 0.01}
+    for p_rare, rows in ((1e-9, 1), (1e-6, 3), (1e-3, 20), (0.9, 2)):
+        bad = rng.random(2000) < 0.1
+        rare = [0.3 if i == rows else p_rare if i < rows else 0.0 for i in range(2000)]  # the row after them has no tokens
+        data = [(i, 0 if i == rows else 100, (1 - b) * (1 - r), r, b * (1 - r), float(not b)) for i, (b, r) in enumerate(zip(bad.astype(float).tolist(), rare, strict=True))]
+        df = spark.createDataFrame(data, "doc_id long, n_tokens long, p_good double, p_poor double, p_toxic double, __least double")
+        got = mixing.rates(df, weights, 1.15, most=mixing.MOST).orderBy("doc_id").toPandas()
+        _, p, t, rate, _, target = mixed(got, weights, 1.15)
+        assert (rate >= [d[-1] for d in data]).all() and rate.max() <= mixing.MOST
+        off = (p * (t * rate)[:, None]).sum(axis=0) - target
+        assert (np.abs(off[[0, 2]]) <= 2e-3 * t.sum()).all() and abs(np.abs(off).max() / t.sum() - got["gap"][0]) < 1e-5
+
+
+def test_resampling_with_one_labelled_row_of_a_domain(spark):
+    """One poor document among many: a row has no more copies than `most`, and the table doesn't grow past its targets."""
+    texts = [" ".join(f"fine{(i * 7 + k) % 900}" for k in range(40)) for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i != 3), 0) for i in range(1500)], "doc_id long, quality int, toxic int")
+    copies = mixing.resample(docs, labels, {"good": 0.985, "poor": 0.005, "toxic": 0.01}, 1.15, spared="good").groupBy("doc_id").count().toPandas()["count"]
+    assert copies.max() <= mixing.MOST and 0.9 * 1500 <= copies.sum() <= 1.3 * 1500
+
+
 def test_mixing_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 1, 0), (0, 0, 1), (5, None, None), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     got = mixing.mix(odd, labels, {"good": 1.0})
