@@ -63,29 +63,33 @@ def keep_arrays_mapped() -> None:
         set_option(-1, 32 << 20)
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """Each window's matrix transposed and laid out anew: small products with a view cost twice as much."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 def _weighed(q: np.ndarray, k: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of q (of the last positions) times k for keys up to each query, and their sums; `safe` shifts each query's products, so that none overflow or all vanish."""
-    w = k.shape[1]
-    a = q @ k.transpose(0, 2, 1)
-    seen = _causal(w, a.dtype.str)[w - q.shape[1] :]
+    b, n, w = len(q), q.shape[1], k.shape[1]
+    a = q @ _turned(k)
+    seen = _causal(w, a.dtype.str)[w - n :]
     if safe:
         a -= np.where(seen > 0, a, -np.inf).max(axis=2, keepdims=True)
         np.minimum(a, 0, out=a)  # of keys after the query
     np.exp(a, out=a)
     a *= seen
-    return a, a @ np.ones((w, 1), a.dtype)
+    return a, (a.reshape(b * n, w) @ np.ones(w, a.dtype)).reshape(b, n, 1)
 
 
-def _attended(p: dict[str, np.ndarray], inputs: np.ndarray, safe: bool):
+def _attended(p: dict[str, np.ndarray], qkv: np.ndarray, inputs: np.ndarray, safe: bool):
     """x, q, k, v, attention weights before and sums for their normalisation, the attended values c, and h (with a last column of ones), a row a position."""
     b, w = inputs.shape
     d = p["out"].shape[0]
     x = p["emb"].take(inputs.ravel(), axis=0).reshape(b, w, d)
     x += p["pos"]
     x = x.reshape(b * w, d)
-    q, k, v = (x @ p["qkv"][:, i * d : (i + 1) * d] for i in range(3))
-    q *= q.dtype.type(d**-0.5)
-    q, k, v = (y.reshape(b, w, d) for y in (q, k, v))
+    y = (x @ qkv).reshape(b, w, 3 * d)
+    q, k, v = (y[:, :, i * d : (i + 1) * d] for i in range(3))
     a, total = _weighed(q, k, safe)
     c = a @ v
     c /= total
@@ -132,7 +136,7 @@ class Scorer:
         keep_arrays_mapped()
         d = p["out"].shape[0]
         q, k, v = (p["qkv"][:, i * d : (i + 1) * d] for i in range(3))
-        self.p, self.each = p, [np.ascontiguousarray(m) for m in (q * q.dtype.type(d**-0.5), k, v @ p["out"])]
+        self.p, self.q, self.kv = p, q * q.dtype.type(d**-0.5), np.concatenate([k, v @ p["out"]], axis=1)
 
     def __call__(self, inputs: np.ndarray, targets: np.ndarray, skip: int = 0) -> np.ndarray:
         """Of the positions from `skip` on; those before are only looked back at."""
@@ -146,9 +150,9 @@ class Scorer:
         x = p["emb"].take(inputs.ravel(), axis=0).reshape(b, w, d)
         x += p["pos"]
         own = np.ascontiguousarray(x[:, skip:]).reshape(b * n, d)
-        q, (k, v) = (own @ self.each[0]).reshape(b, n, d), ((x.reshape(b * w, d) @ m).reshape(b, w, d) for m in self.each[1:])
-        a, total = _weighed(q, k, safe)
-        c = a @ v
+        q, kv = (own @ self.q).reshape(b, n, d), (x.reshape(b * w, d) @ self.kv).reshape(b, w, 2 * d)
+        a, total = _weighed(q, kv[:, :, :d], safe)
+        c = a @ kv[:, :, d:]
         c /= total
         h = np.empty((b * n, d + 1), x.dtype)
         h[:, -1] = 1
@@ -181,7 +185,10 @@ def _gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray
     b, w = inputs.shape
     groups, _, leaves = p["leaf"].shape
     d, n = p["out"].shape[0], max(1, int(real.sum()))
-    x, q, k, v, a, total, c, h = _attended(p, inputs, safe)
+    scale = p["qkv"].dtype.type(d**-0.5)
+    qkv = p["qkv"].copy()
+    qkv[:, :d] *= scale
+    x, q, k, v, a, total, c, h = _attended(p, qkv, inputs, safe)
     at, target = np.arange(b * w), targets.ravel()
     group = (target // leaves).astype(np.uint8)
     share = (real.ravel() / n).astype(h.dtype)[:, None]
@@ -200,18 +207,20 @@ def _gradients(p: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray
     dh += dhs.take(back, axis=0)
     np.matmul(c.T, dh, out=g["out"])
     dc = dh @ p["out"].T
-    along = (dc * c) @ np.ones((d, 1), dc.dtype)  # the sum over each row of da * a
+    along = np.einsum("ij,ij->i", dc, c)  # the sum over each row of da * a
     dc = dc.reshape(b, w, d)
     dc /= total  # so that a needn't be normalised
-    ds = dc @ v.transpose(0, 2, 1)
+    ds = dc @ _turned(v)
     ds -= along.reshape(b, w, 1) / total
     ds *= a
-    dqkv = np.empty((b * w, 3 * d), dh.dtype)
-    for i, y in enumerate((ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc)):
-        dqkv[:, i * d : (i + 1) * d] = y.reshape(b * w, d)
-    dqkv[:, :d] *= dqkv.dtype.type(d**-0.5)
+    dqkv = np.empty((b, w, 3 * d), dh.dtype)
+    np.matmul(ds, k, out=dqkv[:, :, :d])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[:, :, 2 * d :])
+    dqkv = dqkv.reshape(b * w, 3 * d)
     np.matmul(x.T, dqkv, out=g["qkv"])
-    dh += dqkv @ p["qkv"].T
+    g["qkv"][:, :d] *= scale
+    dh += dqkv @ qkv.T
     np.sum(dh.reshape(b, w, d), axis=0, out=g["pos"])
     ids = inputs.ravel()
     ids = ids.astype(np.uint16) if len(p["emb"]) <= 0xFFFF else ids  # sorts faster

@@ -53,18 +53,6 @@ def word_keys(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return mix(np.add.reduceat(kinds[ids] * powers[place], starts))
 
 
-class _Numbers(dict):
-    """Numbers of words in the order of their first appearance; those not seen before are listed."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
-        return n
-
-
 class Subwords:
     """Words of a group as numbers, with their keys and subword ids; remembered up to a bound."""
 
@@ -81,7 +69,7 @@ class Subwords:
         return len(self.numbers) > WORDS_CACHED
 
     def forget(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers: dict[bytes, int] = {}
         self.key, self.start, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +78,10 @@ class Subwords:
             self.forget()
         words, codes, ends = coded(texts, lower=True)
         known = self.numbers
+        new = [w for w in dict.fromkeys([_END, *words]) if w not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         end = known[_END]
         own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[codes]
-        new, known.new = known.new, []
         n = np.diff(ends)
         numbers = np.full(len(own) + len(n), end, np.int64)
         numbers[np.arange(len(own)) + np.repeat(np.arange(len(n)), n)] = own
@@ -323,6 +312,12 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def alike(scored: DataFrame) -> DataFrame:
+    """scored, in which equal texts have the least of their scores: where a text stands in its batch can move its score in single precision."""
+    same = scored.groupBy("text_hash", "n_tokens").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return scored.join(same, ["text_hash", "n_tokens"], "left").withColumn("score", F.coalesce("least", "score")).drop("least")
+
+
 def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", shape: Shape = Shape()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -350,7 +345,8 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
     sent = spark.sparkContext.broadcast((weights, maps, inner, *_frequent(counts)))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, maps, inner, top_key, top_count = sent.value
+        weights, (of_input, of_class), inner, top_key, top_count = sent.value
+        of_input, of_class = of_input.astype(np.int32), of_class.astype(np.int32)
         kind = _kind_of_ids(len(inner))
         model = attention.Scorer(weights)
         for part, ids in chunks(batches, "ids"):
@@ -358,10 +354,12 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
             ends = np.concatenate([[0], np.cumsum([len(x) // kind().itemsize for x in ids])])
             bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(part.column(4).to_pylist(), np.diff(ends).tolist(), strict=True)]
             starts = np.flatnonzero(np.concatenate(bits))
+            owner = np.repeat(np.arange(len(ids)), [np.count_nonzero(x) for x in bits])
             words = pa.array(signed(word_keys(seq, starts))).dictionary_encode()
             word, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_numpy().view(np.uint64)
-            owner = np.searchsorted(ends, starts, side="right") - 1
-            at = np.minimum(np.searchsorted(top_key, distinct), max(0, len(top_key) - 1))
+            order = np.argsort(distinct)  # in order, they are found several times as fast
+            at = np.empty(len(order), np.int64)
+            at[order] = np.minimum(np.searchsorted(top_key, distinct[order]), max(0, len(top_key) - 1))
             count = np.where(top_key[at] == distinct, top_count[at], 0) if len(top_key) else np.zeros(len(distinct), np.int64)
             own = count[word]
             known = np.bincount(owner, own > 0, len(ids)).astype(np.int64)
@@ -369,13 +367,19 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
             rare, times = np.unique((owner[own == 0] << 32) | word[own == 0], return_counts=True)
             offsets = np.searchsorted(rare >> 32, np.arange(len(ids) + 1)).astype(np.int32)
             lm = np.add.reduceat(inner[seq], ends[:-1])
-            text, inputs, targets, real = _laid(seq, ends, shape, maps)
+            text, begin, _ = attention.windows(np.diff(ends), shape)
+            begin += ends[text]
+            inputs, targets = of_input[np.concatenate([[-1], seq[:-1]])], of_class[seq]
+            inputs[ends[:-1]] = of_input[-1]
             later = np.diff(text, prepend=-1) == 0  # a text's first window is scored from its start, later ones after the overlap
             for rows, skip in ((np.flatnonzero(~later), 0), (np.flatnonzero(later), shape.overlap)):
                 for lo in range(0, len(rows), 256):
-                    at = rows[lo : lo + 256]
+                    own = rows[lo : lo + 256]
+                    at, last = begin[own, None] + np.arange(shape.window), ends[text[own] + 1, None]
+                    real = at < last
+                    np.minimum(at, last - 1, out=at)
                     p = model(inputs[at], targets[at], skip)
-                    np.add.at(lm, text[at], (p * real[at, skip:]).sum(axis=1))
+                    np.add.at(lm, text[own], (p * real[:, skip:]).sum(axis=1))
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), part.column(2), pa.array(np.bincount(owner, minlength=len(ids))), pa.array(known), pa.array(base), pa.array(lm / math.log(10)),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(distinct)[rare & 0xFFFFFFFF])), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int64))),
@@ -388,7 +392,8 @@ def score(docs: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "te
     more = rare.join(counts, "k").groupBy("doc_id", "text_hash").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("plus"))
     more = more.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "more", "plus")
     copies = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "text_hash"))  # equal rows have put their words in as often
-    whole = scored.drop("rare", "times").withColumn("copies", copies).join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
+    whole = alike(scored.drop("rare", "times"))
+    whole = whole.withColumn("copies", copies).join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
     floor = math.log10((tokens or 0) + distinct + 1)
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce((F.col("more") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"), F.lit(tokens or 0).cast("long").alias("train_tokens"),

@@ -603,6 +603,12 @@ def test_base_scores_on_odd_rows(odd, none):
     assert lm_scoring.score(none, path).count() == 0
 
 
+def test_equal_texts_have_one_score(spark):
+    data = [(1, 7, 3, -2.25), (2, 7, 3, -2.2500002), (None, 7, 3, -2.2499998), (3, 8, 3, -2.1), (4, 7, 4, -9.0), (4, 7, 4, -9.0)]
+    got = lm_scoring.alike(spark.createDataFrame(data, "doc_id long, text_hash long, n_tokens long, score double"))
+    assert sorted((str(r["doc_id"]), r["text_hash"], r["n_tokens"], r["score"]) for r in got.collect()) == sorted((str(i), h, n, -2.2500002 if (h, n) == (7, 3) else s) for i, h, n, s in data)
+
+
 def test_rare_words_take_the_join(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "FREQUENT", 20)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
