@@ -70,6 +70,11 @@ def forget(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._kept)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark then deletes the shuffle files that no table reads any more, which else stay until the driver's heap happens to fill."""
+    spark._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Deletes at the end what keep() wrote meanwhile, but for the tables put into the list it gives."""

@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, coded, forget, keep, sequence_hash, signed, small_batches, unused, word_hashes
+from .common import chunks, coded, forget, free_shuffles, keep, sequence_hash, signed, small_batches, unused, word_hashes
 
 WINDOW = 50
 #: Words of the runs among which a window's anchor is chosen.
 RUN = 16
 #: A window's place in its text is below this bit; above it is the tag of the text among those of its doc_id.
 _TAG = 40
+#: Bits of the map of candidates, by which texts are left out before they are dealt: the most, and those of one of its rows.
+MAP_BITS, _ROW_BITS = 1 << 26, 1 << 15
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -69,6 +71,17 @@ def heads(docs: DataFrame, window: int, run: int) -> DataFrame:
     return docs.mapInArrow(go, "doc_id long, n_words long, s1 long, s2 long, sha string, anchors array<long>")
 
 
+def likely(rows: DataFrame, ids: DataFrame, n: int, most: int = MAP_BITS) -> DataFrame:
+    """rows, without most of those whose doc_id is not among the n ids (none is lost that is): a map of hashed ids, of at most `most` bits, goes to every task."""
+    bits = max(_ROW_BITS, min(most, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    rest = F.pmod(place, F.lit(_ROW_BITS))
+    full = ids.groupBy(F.floor(place / _ROW_BITS).alias("__row")).agg(F.bitmap_construct_agg(rest).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(rest / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__row", F.floor(place / _ROW_BITS)).join(F.broadcast(full), "__row")
+    return found.where(F.floor(byte / F.pow(F.lit(2), F.pmod(rest, F.lit(8)))) % 2 == 1).select(rows.columns)
+
+
 def _windows(window: int, run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
@@ -113,14 +126,18 @@ class Repeats:
         # Tables of their own on both sides of a join, so that a hot key can be split when it runs.
         shared = keep(found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "substring-anchors")
         wanted = found.join(shared, "anchor").groupBy("doc_id", "tag").agg(F.collect_set("anchor").alias("anchors"))
-        wanted = wanted.join(self.reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "tag"])
-        self.candidates = keep(rows.join(wanted, "doc_id").select("doc_id", "text", "s1", "s2", "tag", "anchors"), "substring-candidates")
+        wanted = keep(wanted.join(self.reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "tag"]), "substring-wanted", rows=total)
+        free_shuffles(docs.sparkSession)
+        self.candidates = keep(likely(rows, wanted, wanted.count()).join(wanted, "doc_id").select("doc_id", "text", "s1", "s2", "tag", "anchors"), "substring-candidates")
+        free_shuffles(docs.sparkSession)
         hits = self.candidates.mapInArrow(_windows(window, run), "w1 long, w2 long, doc_id long, at long")
         hits = keep(hits, "substring-windows")
         earliest = keep(hits.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "substring-repeated")
+        free_shuffles(docs.sparkSession)
         later = hits.join(earliest, ["w1", "w2"]).where("doc_id > lo").select("doc_id", F.shiftright("at", _TAG).alias("tag"), F.col("at").bitwiseAND(F.lit((1 << _TAG) - 1)).alias("at"))
         self.starts = keep(later.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("at")).alias("starts")), "substring-starts", rows=total)
-        forget(shared, hits, earliest)
+        forget(shared, wanted, hits, earliest)
+        free_shuffles(docs.sparkSession)
 
 
 def merged(starts: np.ndarray, window: int) -> list[tuple[int, int]]:

@@ -560,6 +560,18 @@ def test_substring_on_random_rows(spark, window, run):
     assert got == substring_brute(data, window)
 
 
+def test_few_rows_but_candidates_are_dealt(spark):
+    rows = spark.range(-20_000, 20_000).selectExpr("id AS doc_id", "cast(id AS string) AS text").union(spark.createDataFrame([(None, "none")], "doc_id long, text string"))
+    ids = spark.range(-20_000, 20_000, 13).selectExpr("id AS doc_id")
+    want = {r["doc_id"] for r in ids.collect()}
+    for n, most, more in ((len(want), substring_dedup.MAP_BITS, 0.1), (len(want), 1 << 15, 0.15), (1 << 40, 1 << 18, 0.05)):
+        got = substring_dedup.likely(rows, ids, n, most)
+        found = [r["doc_id"] for r in got.collect()]
+        assert got.columns == rows.columns and len(found) == len(set(found)) and want <= set(found)
+        assert len(found) - len(want) < more * 40_000
+    assert substring_dedup.likely(rows, ids.where("false"), 0).count() == 0
+
+
 def test_removal_leaves_clean_texts_alone(odd):
     out = substring_dedup.remove(odd, length="n_chars")
     assert out.columns == odd.columns and out.count() == odd.count()
